@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+from .quality import op5_quality_rules
 from .token_file import op9_token_files
+from .topk import op1_exact_top_k
 from .url_filter import op3_url_filter
 from .warc import op4_warc
 
 
 def queries() -> dict:
     return {
+        "op1_exact_top_k": op1_exact_top_k,
         "op3_url_filter": op3_url_filter,
         "op4_warc": op4_warc,
+        "op5_quality_rules": op5_quality_rules,
         "op9_token_files": op9_token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": URL_FILTER, "op4_warc": WARC}
+    return {"op1_exact_top_k": TOP_K, "op3_url_filter": URL_FILTER, "op4_warc": WARC}
 
 
 _HOST = "translate(coalesce(regexp_extract({0}, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -72,3 +76,12 @@ SELECT page_id, n::BIGINT AS payload_bytes, p.digest AS payload_digest,
   CASE WHEN page_id > first THEN first END AS refers_to
 FROM p LEFT JOIN firsts USING (digest)
 """
+
+TOP_K = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
