@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .mixture import op2_mix_sources
 from .quality import op5_quality_rules
 from .token_file import op9_token_files
 from .topk import op1_exact_top_k
@@ -12,6 +13,7 @@ from .warc import op4_warc
 def queries() -> dict:
     return {
         "op1_exact_top_k": op1_exact_top_k,
+        "op2_mix_sources": op2_mix_sources,
         "op3_url_filter": op3_url_filter,
         "op4_warc": op4_warc,
         "op5_quality_rules": op5_quality_rules,
