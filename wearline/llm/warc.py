@@ -226,6 +226,17 @@ def write_archives(pages: DataFrame, folder: str, max_records: int = 50_000) ->
     return stored(rows.mapInArrow(write, "path string, n long, keys array<string>"), "warc-runs")
 
 
+def _merge_group(prefix: str):
+    def merge(pdf):
+        import pandas as pd
+
+        path = f"{prefix}-{pdf['g'].iloc[0]:06d}.run"
+        n, keys = _write_run(path, iter(LoserTree([_read_run(p) for p in sorted(pdf["path"])])))
+        return pd.DataFrame({"path": [path], "n": [n], "keys": [keys]})
+
+    return merge
+
+
 def merge_runs(runs: DataFrame, folder: str, fan_in: int = 128, per_range: int = 5_000) -> DataFrame:
     """The capture history: (part, rank, url_key, timestamp, file, offset, length), ordered by (part, rank).
 
@@ -240,15 +251,8 @@ def merge_runs(runs: DataFrame, folder: str, fan_in: int = 128, per_range: int =
         groups = -(-count // fan_in)
         level += 1
 
-        def merge(pdf, level=level):
-            import pandas as pd
-
-            path = f"{folder}/merged-{level}-{pdf['g'].iloc[0]:06d}.run"
-            n, keys = _write_run(path, iter(LoserTree([_read_run(p) for p in sorted(pdf["path"])])))
-            return pd.DataFrame({"path": [path], "n": [n], "keys": [keys]})
-
         numbered = runs.withColumn("g", F.pmod(F.xxhash64("path"), F.lit(groups)))
-        runs = stored(numbered.groupBy("g").applyInPandas(merge, "path string, n long, keys array<string>"), "warc-runs")
+        runs = stored(numbered.groupBy("g").applyInPandas(_merge_group(f"{folder}/merged-{level}"), "path string, n long, keys array<string>"), "warc-runs")
         count = runs.count()
     paths = sorted(r.path for r in runs.select("path").collect())  # at most fan_in
     keys = sorted(r.key for r in runs.select(F.explode("keys").alias("key")).orderBy(F.xxhash64("key")).limit(4096).collect())
