@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .class_lm import op8_class_lm
 from .jaccard import op10_jaccard_join
 from .mixture import op2_mix_sources
 from .quality import op5_quality_rules
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op3_url_filter": op3_url_filter,
         "op4_warc": op4_warc,
         "op5_quality_rules": op5_quality_rules,
+        "op8_class_lm": op8_class_lm,
         "op9_token_files": op9_token_files,
         "op10_jaccard_join": op10_jaccard_join,
     }
