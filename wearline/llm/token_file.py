@@ -21,6 +21,7 @@ values into ``width`` words, which numpy does for many blocks at a time.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import struct
 import zlib
@@ -186,50 +187,93 @@ class Shard:
             yield self.doc_ids[d], start, 0, 0
 
 
-#: A blank between two of these starts a piece of the byte-level pattern, whatever stands around it.
+#: A blank or line end between two of these starts a piece of the byte-level pattern, whatever stands around it.
 _SOLID = "!-~\xa1-ɏ"
-_ODD = re.compile(f"(?:^|[^{_SOLID}]) | (?:[^{_SOLID}]|$)")
+_ODD = re.compile(f"(?:^|[^{_SOLID}])[ \n]|[ \n](?:[^{_SOLID}]|$)")
 _CUT = re.compile(f"(?<=[{_SOLID}]) (?=[{_SOLID}])")
+_BLANK = re.compile(r"\s")
+#: Marks that never share a piece with a letter before them.
+_MARKS = ".,;:!?#$%&*|"
 
 
 class WordEncoder:
     """Byte-level BPE of whole texts by way of a bounded table of words.
 
-    The tokenizer splits before every single blank between two solid
-    characters, so a text's ids are those of its words, each with the blank
-    before it.  Only words that the table lacks reach the tokenizer, many at a
-    time; a full table is emptied, which costs time and changes nothing.
+    The tokenizer splits before every single blank between two solid characters,
+    and on both sides of such a line end.  So a text's ids are those of its first
+    word, of the later words with the blank before them, and of the words that
+    open a line with the line end before them.  Only words that the table lacks
+    reach the tokenizer, thousands in one call, a line each; a full table is
+    emptied, which costs time and changes nothing.
     """
 
-    def __init__(self, path: str, room: int = 600_000):
+    def __init__(self, path: str, room: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.room, self.first, self.later = room, {}, {}
-
-    def _learn(self, table: dict, words: set, blank: str) -> None:
-        new = [w for w in words if w not in table]
-        if len(table) + len(new) > self.room:
+        self.line_end = self._ids("\n")
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _lines(self, words: list[str], blank: str):
+        """The ids of each word, as bytes: one call, cut at the line ends."""
+        ids = np.array(self._ids("\n".join([blank + w for w in words])), "<u4")
+        cuts = np.flatnonzero(ids == self.line_end[0]).tolist()
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)])]
+
+    def _learn(self, table: dict, new: set, blank: str) -> None:
+        """Put the words, none of which is in ``table``, there."""
+        # marks after a word's last letter are pieces of their own: the word without them is learnt once
+        cut = {w: base for w in new if (base := w.rstrip(_MARKS)) != w and base[-1:].isalpha()}
+        plain = {*new.difference(cut), *cut.values()}
+        if len(table) + len(new) + len(plain) > self.room:
             table.clear()
-            new = list(words)
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch([blank + w for w in part], add_special_tokens=False)):
-                table[w] = np.array(e.ids, "<u4").tobytes()
+        self._learn_plain(table, [w for w in plain if w not in table], blank)
+        marks = {}
+        for w, base in cut.items():
+            tail = w[len(base) :]
+            if tail not in marks:
+                marks[tail] = np.array(self._ids(tail), "<u4").tobytes()
+            table[w] = table[base] + marks[tail]
+
+    def _learn_plain(self, table: dict, new: list, blank: str) -> None:
+        end = np.array(self.line_end, "<u4").tobytes()
+        opening = [w for w in new if w[:1] == "\n"]
+        plain = [w for w in new if w[:1] != "\n"]
+        for part, lead, cut, head in ((plain, blank, 0, b""), (opening, "", 1, end)):
+            # a word that is empty or holds any blank would blur the cuts
+            odd = {w for w in part if len(w) == cut or _BLANK.search(w, cut)}
+            for w in odd:
+                table[w] = np.array(self._ids((blank if not cut else "") + w), "<u4").tobytes()
+            part = [w for w in part if w not in odd] if odd else part
+            for a in range(0, len(part), 4096):
+                some = part[a : a + 4096]
+                ids = self._lines([w[cut:] for w in some], lead)
+                if len(ids) != len(some):
+                    raise ValueError("the tokenizer merged a line end into a word")
+                table.update(zip(some, [head + x for x in ids] if head else ids))
+
+    def _codes(self, table: dict, split: list[list[str]], blank: str) -> list[list[bytes]]:
+        got = [list(map(table.get, words)) for words in split]
+        lacking = [k for k, g in enumerate(got) if None in g]
+        if lacking:
+            self._learn(table, {w for k in lacking for w, x in zip(split[k], got[k]) if x is None}, blank)
+            for k in lacking:
+                got[k] = [table[w] if x is None else x for w, x in zip(split[k], got[k])]
+        return got
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian uint32 bytes."""
-        for a in range(0, len(texts), 256):
-            split = [t.split(" ") if not _ODD.search(t) else _CUT.split(t) for t in texts[a : a + 256]]
-            self._learn(self.first, {w[0] for w in split}, "")
-            later: set = set()
-            for words in split:
-                later.update(words[1:])
-            self._learn(self.later, later, " ")
-            first, get = self.first, self.later.__getitem__
-            for words in split:
-                yield first[words[0]] + b"".join(map(get, words[1:]))
+        ends = np.cumsum([len(t) for t in texts]) // 4_000_000
+        for _, group in itertools.groupby(range(len(texts)), ends.__getitem__):
+            split = [_CUT.split(t) if _ODD.search(t) else t.replace("\n", " \n").split(" ") for t in map(texts.__getitem__, group)]
+            opening = self._codes(self.first, [[words.pop(0)] for words in split], "")
+            for head, rest in zip(opening, self._codes(self.later, split, " ")):
+                yield head[0] + b"".join(rest)
 
 
 @functools.lru_cache(maxsize=2)
