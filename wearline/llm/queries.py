@@ -5,6 +5,7 @@ from __future__ import annotations
 from .class_lm import op8_class_lm
 from .jaccard import op10_jaccard_join
 from .mixture import op2_mix_sources
+from .pieces import op6_sentencepiece
 from .quality import op5_quality_rules
 from .token_file import op9_token_files
 from .topk import op1_exact_top_k
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op3_url_filter": op3_url_filter,
         "op4_warc": op4_warc,
         "op5_quality_rules": op5_quality_rules,
+        "op6_sentencepiece": op6_sentencepiece,
         "op8_class_lm": op8_class_lm,
         "op9_token_files": op9_token_files,
         "op10_jaccard_join": op10_jaccard_join,
