@@ -2,7 +2,7 @@
 
 The lattice of a text has an edge for every piece of the vocabulary that occurs
 in it, weighted by the piece's score, and for every character that is no piece an
-edge to its bytes, ten below the lowest score.  Forward Viterbi gives each
+edge to its bytes, ten below the lowest score (of pieces that are not all blank).  Forward Viterbi gives each
 position the best score of any way to reach it.  Those scores are exact
 heuristics for a backward A-star search, which pops the segmentations of a text
 in order of their scores.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: Stands for a literal U+2581 of the text, which is encoded by its bytes.
 LITERAL = "\U0010fffe"
-#: Below the lowest score of any piece, for a character that is no piece.
+#: Below the lowest score of any piece but runs of blanks, for a character that is no piece.
 PENALTY = 10.0
 #: Every segment opens with blanks or line ends.
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n+[^{SPACE}\n]*")
@@ -68,7 +68,7 @@ class PieceModel:
                 self.bytes.append(piece.replace(SPACE, " ").encode())
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids):
             raise ValueError("a piece crosses a word's start or a line's end")
-        self.unknown = min(self.scores[i] for i in self.ids.values()) - PENALTY
+        self.unknown = min(self.scores[i] for p, i in self.ids.items() if p.strip(SPACE)) - PENALTY
         self.longest = max(map(len, self.ids))
         tables: list[list] = [[] for _ in range(self.longest + 1)]
         for piece, i in self.ids.items():
