@@ -88,7 +88,7 @@ def signature(s: np.ndarray, count: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """doc_id, set_key (128-bit hash of the shingle set; null without words), n, labels (binary)."""
+    """doc_id, text_hash, set_key (128-bit hash of the shingle set; null without words), n, labels (binary)."""
 
     def run(batches):
         import pyarrow as pa
@@ -102,9 +102,9 @@ def signed(docs: DataFrame, trees: int = TREES, depth: int = DEPTH) -> DataFrame
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sizes.append(len(s))
                 labels.append(signature(s, trees * depth).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(labels, pa.binary())], ["doc_id", "set_key", "n", "labels"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(labels, pa.binary())], ["doc_id", "text_hash", "set_key", "n", "labels"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, set_key binary, n long, labels binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, text_hash long, set_key binary, n long, labels binary")
 
 
 class Forest:
@@ -182,7 +182,9 @@ def verify(sets: list[np.ndarray], prefixes: np.ndarray, copies: np.ndarray, lef
 
 
 def join_near_copies(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, n_links for every row of ``docs`` (doc_id, text).
+    """doc_id, text_hash (xxhash64), root, class_id, n_links for every row of ``docs`` (doc_id, text).
+
+    root: what the rows of one near-duplicate class share; null without words.
 
     class_id: the least doc_id of the documents that links connect to this one.
     n_links: the other documents with similarity of the threshold or more; rows
@@ -243,11 +245,26 @@ def join_near_copies(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
     # the class takes the least id among its members
     named = joined.withColumnRenamed("node", "set_key").join(classes.select("set_key", "rep"), "set_key")
     least = named.groupBy("root").agg(F.min("rep").alias("least"))
-    named = named.join(least, "root").select("set_key", "least")
-    answer = classes.join(linked, "set_key", "left").join(named, "set_key", "left").select("set_key", F.coalesce("least", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = rows.select("doc_id", "set_key").join(answer, "set_key", "left")
-    return out.select("doc_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = named.join(least, "root").select("set_key", "root", "least")
+    answer = classes.join(linked, "set_key", "left").join(named, "set_key", "left").select("set_key", F.coalesce("root", "set_key").alias("root"), F.coalesce("least", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = rows.select("doc_id", "text_hash", "set_key").join(answer, "set_key", "left")
+    return out.select("doc_id", "text_hash", "root", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each near-duplicate class: the least (doc_id, text_hash), null ids last.
+
+    Rows without words are classes of their own; rows that repeat id and text are one.
+    """
+    rows = join_near_copies(docs, **options)
+    first = rows.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
+    stays = first.select("k.doc_id", "k.text_hash").unionByName(rows.where("root is null").select("doc_id", "text_hash"))
+    stays = stays.toDF("__id", "__hash")
+    marked = docs.withColumn("__text", F.xxhash64("text"))
+    kept = marked.join(stays, marked["doc_id"].cast("long").eqNullSafe(stays["__id"]) & (marked["__text"] == stays["__hash"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return join_near_copies(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return join_near_copies(docs).select("doc_id", "class_id", "n_links")

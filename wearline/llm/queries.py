@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .class_lm import op8_class_lm
+from .html_text import op7_html_text
 from .jaccard import op10_jaccard_join
 from .mixture import op2_mix_sources
 from .pieces import op6_sentencepiece
@@ -21,6 +22,7 @@ def queries() -> dict:
         "op4_warc": op4_warc,
         "op5_quality_rules": op5_quality_rules,
         "op6_sentencepiece": op6_sentencepiece,
+        "op7_html_text": op7_html_text,
         "op8_class_lm": op8_class_lm,
         "op9_token_files": op9_token_files,
         "op10_jaccard_join": op10_jaccard_join,
