@@ -192,6 +192,20 @@ _SOLID = "!-~\xa1-ɏ"
 _ODD = re.compile(f"(?:^|[^{_SOLID}])[ \n]|[ \n](?:[^{_SOLID}]|$)")
 _CUT = re.compile(f"(?<=[{_SOLID}]) (?=[{_SOLID}])")
 _BLANK = re.compile(r"\s")
+#: The solid characters of Latin-1, the blank and the line end.
+_LATIN = bytes(range(0x21, 0x7F)) + bytes(range(0xA1, 0x100)) + b" \n"
+
+
+def _is_odd(text: str) -> bool:
+    """Whether a blank or line end of the text may lack a solid neighbour on either side."""
+    if "  " in text or "\n " in text or " \n" in text or "\n\n" in text or text[:1] in " \n" or text[-1:] in " \n":
+        return True
+    try:
+        return bool(text.encode("latin-1").translate(None, _LATIN))
+    except UnicodeEncodeError:
+        return bool(_ODD.search(text))
+
+
 #: Marks that never share a piece with a letter before them.
 _MARKS = ".,;:!?#$%&*|"
 
@@ -216,7 +230,8 @@ class WordEncoder:
         self.line_end = self._ids("\n")
 
     def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        # the variant that leaves out the ids' places in the text
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _lines(self, words: list[str], blank: str):
         """The ids of each word, as bytes: one call, cut at the line ends."""
@@ -270,7 +285,7 @@ class WordEncoder:
         """The ids of each text as little-endian uint32 bytes."""
         ends = np.cumsum([len(t) for t in texts]) // 4_000_000
         for _, group in itertools.groupby(range(len(texts)), ends.__getitem__):
-            split = [_CUT.split(t) if _ODD.search(t) else t.replace("\n", " \n").split(" ") for t in map(texts.__getitem__, group)]
+            split = [_CUT.split(t) if _is_odd(t) else t.replace("\n", " \n").split(" ") for t in map(texts.__getitem__, group)]
             opening = self._codes(self.first, [[words.pop(0)] for words in split], "")
             for head, rest in zip(opening, self._codes(self.later, split, " ")):
                 yield head[0] + b"".join(rest)
