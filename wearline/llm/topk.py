@@ -149,9 +149,9 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, shard_rows: int
             mine = mine[np.sort(first)]
         found = tree.search(v[mine], ids[mine].tolist(), k, [None] * len(mine))
         return pd.DataFrame({
-            "query_id": ids[mine], "dim": dim, "home": shard, "q": [x.tobytes() for x in v[mine]],
+            "query_id": ids[mine], "dim": dim, "home": shard, "q": pd.Series([x.tobytes() for x in v[mine]], dtype=object),
             "kth": pd.array([_held(f[-1][0]) if len(f) == k else None for f in found], "Int64"),
-            "ids": [[i for _, i in f] for f in found], "scores": [[_held(s) for s, _ in f] for f in found],
+            "ids": pd.Series([[i for _, i in f] for f in found], dtype=object), "scores": pd.Series([[_held(s) for s, _ in f] for f in found], dtype=object),
         })
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
