@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: Tokens of a chunk, at least one document.
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_000_000
 #: Share of the training tokens from which a word is assigned to a class by itself.
 MIN_SHARE = 1e-5
 CLASSES, ROUNDS, SMOOTHING = 64, 4, 0.1
