@@ -248,12 +248,26 @@ def test_boosting(spark):
     assert flat.init == 20 and flat.curve == [] and set(column(flat.predict(table(spark, [1], [1])), "pred", "a")) == {20.0}
     rows = table(spark, range(50), [0] * 25 + [10] * 25)
     params = tree.BoostParams(6, 0.3, tree.TreeParams(2, 1))
-    one, two = (tree.fit_boosted(rows, ["a"], "y", params) for _ in range(2))
-    assert one == two and len(one.curve) == 6 and one.curve == sorted(one.curve, reverse=True) and one.curve[-1] < 1
+    one, two = (tree.fit_boosted(rows, ["a"], "y", params, cells) for cells in (10**6, 0))
+    assert [t.table() for t in one.trees][0][0][2:4] == [t.table() for t in two.trees][0][0][2:4] == (0, 24.5)
+    assert one.curve == pytest.approx(two.curve) and len(one.curve) == 6 and one.curve == sorted(one.curve, reverse=True) and one.curve[-1] < 1
     assert column(one.predict(rows, at_once=2), "pred", "a")[0] == pytest.approx(5 - 5 * (1 - 0.7**6))
     assert one.table(spark).count() >= 12 and one.curve_table(spark).count() == 6
 
 
+def test_boosting_in_memory_equals_the_distributed_one(spark):
+    import random
+
+    rng = random.Random(8)
+    data = [(rng.randrange(30) / 7, rng.random(), rng.random()) for _ in range(200)]
+    df = spark.createDataFrame(data, "a double, b double, y double")
+    params = tree.BoostParams(2, 0.5, tree.TreeParams(2, 15))
+    near, far = (tree.fit_boosted(df, ["a", "b"], "y", params, cells) for cells in (10**6, 0))
+    for s, t in zip(near.trees, far.trees):
+        for x, y in zip(s.table(), t.table()):
+            assert x[1:3] == y[1:3] and x[3:] == pytest.approx(y[3:])
+
+
 def test_baselines_and_recurrent(spark):
     rows = table(spark, range(60), [2 * x + 1 for x in range(60)])
     out = baselines.linear_predict(rows, rows, ["a"], "y")
