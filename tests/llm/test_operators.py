@@ -61,15 +61,15 @@ def test_components(spark):
 def test_top_k(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 3) / 2], i, "q") for i in range(120)]
-    rows += [(200, None, 1, "q"), (250, [1.0, None, 0.0], 1, "q"), (300, [1.0, float("nan"), 0.0], 1, "q"), (350, [float("inf"), 0.0, 0.0], 1, "q"), (None, [9.0, 9.0, 9.0], 1, "q"), (400, [1.0], 1, "q"), (401, [2.0], 1, "q"), (450, [], 1, "q"), (7, rows[7][1], 7, "q")]
+    rows += [(500, [3e12, 1.0, 0.0], 1, "q"), (501, [-3e4, 1e5, 9.0], 1, "q"), (200, None, 1, "q"), (250, [1.0, None, 0.0], 1, "q"), (300, [1.0, float("nan"), 0.0], 1, "q"), (350, [float("inf"), 0.0, 0.0], 1, "q"), (None, [9.0, 9.0, 9.0], 1, "q"), (400, [1.0], 1, "q"), (401, [2.0], 1, "q"), (450, [], 1, "q"), (7, rows[7][1], 7, "q")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, dim int, shard string")
     got = collections.defaultdict(list)
     for r in topk.exact_top_k(df, shard_rows=16, block_rows=2).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
-    whole = [(i, [math.floor(256 * x) for x in v]) for i, v, *_ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    whole = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v, *_ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     for q, v in {i: v for i, v in whole if i % 50 == 0}.items():
         best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in whole if i != q and len(w) == len(v))[:5]
-        assert got.pop(q, []) == [(k, i, -s) for k, (s, i) in enumerate(best, 1)]
+        assert got.pop(q, []) == [(k, i, max(-(2**63), min(2**63 - 1, -s))) for k, (s, i) in enumerate(best, 1)]
     assert not got
     assert topk.exact_top_k(df.limit(0)).count() == 0
 
@@ -123,6 +123,8 @@ def test_mixture_equals_a_plain_simulation(spark, monkeypatch, weights):
 
 
 def test_mixture_edges(spark, docs):
+    clash = mixture.mix_sources(docs.withColumnRenamed("shard", "slot").withColumnRenamed("n", "__key"))
+    assert sorted(clash.columns) == sorted(["doc_id", "text", "source", "slot_in", "__key", *mixture.SCHEDULE]) and clash.count() == len(ROWS)
     out = mixture.mix_sources(docs)
     assert out.count() == len(ROWS) and {r["source"] for r in out.collect()} == {"a", "b", "", None}
     assert mixture.mix_sources(docs.limit(0)).count() == 0
@@ -347,6 +349,8 @@ def test_near_copies(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_CLASSES", 3)  # large groups, in many blocks
     got = jaccard.join_near_copies(df).select("doc_id", "class_id", "n_links").collect()
     assert sorted(map(tuple, got)) == want
+    kept = jaccard.one_of_each(df.withColumnRenamed("labels", "__text"))
+    assert kept.columns == ["doc_id", "text", "__text"]
     kept = jaccard.one_of_each(df)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c, _ in want}) and kept.columns == df.columns
 

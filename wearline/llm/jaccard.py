@@ -259,10 +259,11 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     rows = join_near_copies(docs, **options)
     first = rows.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
     stays = first.select("k.doc_id", "k.text_hash").unionByName(rows.where("root is null").select("doc_id", "text_hash"))
-    stays = stays.toDF("__id", "__hash")
-    marked = docs.withColumn("__text", F.xxhash64("text"))
-    kept = marked.join(stays, marked["doc_id"].cast("long").eqNullSafe(stays["__id"]) & (marked["__text"] == stays["__hash"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
+    names, inner = docs.columns, [f"__c{i}" for i in range(len(docs.columns))]
+    doc_id, text = (inner[names.index(c)] for c in ("doc_id", "text"))
+    marked, stays = docs.toDF(*inner).withColumn("__text", F.xxhash64(text)), stays.toDF("__id", "__hash")
+    kept = marked.join(stays, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")), "left_semi")
+    return kept.dropDuplicates([doc_id, "__text"]).select(*inner).toDF(*names)
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -25,6 +25,8 @@ from .common import stored
 
 #: Rows of a (source, bucket) group that one window task numbers.
 BUCKET_ROWS = 4096
+#: Columns of the result besides those of the documents.
+SCHEDULE = ("source_block", "slot", "place", "due")
 #: Rows of the schedule that may be sent to every task.
 BROADCAST_ROWS = 200_000
 
@@ -51,7 +53,8 @@ def _schedule(quotas: str = "quotas") -> Column:
 def mix_sources(docs: DataFrame, weights: Mapping[str, int] | None = None, cycle: int = 1000, temperature: float = 0.5, block_docs: int = 16, seed: int = 42) -> DataFrame:
     """``docs`` with source_block, slot, place and due: read in order of (slot, place) they are the mixture.
 
-    ``docs`` needs doc_id, text and source; other columns pass through.
+    ``docs`` needs doc_id, text and source; other columns pass through, those that
+    bear a name of SCHEDULE with ``_in`` after it.
     ``weights``: whole blocks a cycle for each source; sources that it lacks get
     one.  Without it a source's weight is its number of blocks to the power
     ``temperature``, scaled to ``cycle`` blocks a cycle, one at least.
@@ -60,11 +63,10 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, int] | None = None, cycle
     empty sources are sources of their own; repeated rows stay and stand
     together; null text counts as a document; an empty table gives no rows.
     """
-    names = {"__" + n for n in ("key", "order", "bucket", "in_bucket", "before", "block", "cycle", "i")}
-    if names & set(docs.columns):
-        raise ValueError(f"the mixture needs the names {sorted(names)}")
-    keyed = docs.withColumn("__key", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source").cast("string"))))
-    keyed = keyed.withColumn("__order", F.xxhash64(F.lit(seed), "doc_id", "text"))
+    names, inner = docs.columns, [f"__c{i}" for i in range(len(docs.columns))]
+    doc_id, text, source = (F.col(inner[names.index(c)]) for c in ("doc_id", "text", "source"))
+    keyed = docs.toDF(*inner).withColumn("__key", F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source.cast("string"))))
+    keyed = keyed.withColumn("__order", F.xxhash64(F.lit(seed), doc_id, text)).withColumn("__id", doc_id)
     # a source is numbered by buckets of its hash range, so that a large source is many groups
     total = docs.count()
     bits = max(0, min(40, (max(1, total // BUCKET_ROWS) - 1).bit_length()))
@@ -109,7 +111,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, int] | None = None, cycle
     if plan.count() <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
 
-    number = Window.partitionBy("__key", "__bucket").orderBy("__order", "doc_id")
+    number = Window.partitionBy("__key", "__bucket").orderBy("__order", "__id")
     numbered = keyed.withColumn("__in_bucket", F.row_number().over(number) - 1).join(starts, ["__key", "__bucket"])
     index = F.col("__before") + F.col("__in_bucket")
     numbered = numbered.withColumn("__block", F.floor(index / block_docs)).withColumn("place", (index % block_docs).cast("int"))
@@ -117,7 +119,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, int] | None = None, cycle
     out = numbered.alias("d").join(plan.alias("p"), (F.col("d.__key") == F.col("p.__key")) & (F.col("d.__i") == F.col("p.__i")) & (F.col("d.__cycle") >= F.col("p.first")) & (F.col("d.__cycle") < F.col("p.next")))
     offset = F.col("p.begin") + (F.col("d.__cycle") - F.col("p.first")) * F.col("p.length")
     return out.select(
-        *(F.col(f"d.`{c}`") for c in docs.columns),
+        *(F.col(f"d.{c}").alias(f"{n}_in" if n in SCHEDULE else n) for c, n in zip(inner, names)),
         F.col("d.__block").cast("long").alias("source_block"),
         (offset + F.col("p.at")).cast("long").alias("slot"),
         F.col("d.place").alias("place"),
@@ -127,7 +129,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, int] | None = None, cycle
 
 def in_mixture_order(mixed: DataFrame) -> DataFrame:
     """The mixture sorted by (slot, place) across partitions, without the schedule's columns."""
-    return mixed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").drop("source_block", "slot", "place", "due")
+    return mixed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").drop(*SCHEDULE)
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import file_system, scratch, stored, write_atomically
 
 #: Largest component that is kept as it is; beyond it values stay at this bound.
-LIMIT = 2**31 - 1
+LIMIT = 2**62
 LONG = 2**63 - 1
 
 
@@ -53,7 +53,6 @@ class KDTree:
     def _prepare(self) -> None:
         # doubles are exact while no sum can reach 2**53; beyond that Python's integers are
         self.peak = int(np.abs(self.vectors).max(initial=0))
-        self.exact = self.peak <= LIMIT
         self.fast = tuple(a.astype(float) for a in (self.vectors, self.low, self.high))
 
     def save(self) -> bytes:
@@ -119,7 +118,7 @@ def _held(score: int) -> int:
 def quantized(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """(vec_id, v): floor(scale * x) of each component; rows with a null or non-finite part are left out."""
     whole = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
-    held = F.transform("embedding", lambda x: F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.floor(F.lit(float(scale)) * F.greatest(F.lit(-1e9), F.least(F.lit(1e9), x.cast("double")))))).cast("int"))
+    held = F.transform("embedding", lambda x: F.floor(F.greatest(F.lit(-float(LIMIT)), F.least(F.lit(float(LIMIT)), F.lit(float(scale)) * x.cast("double")))).cast("long"))
     return vectors.where(whole).select(F.col("vec_id").cast("long").alias("vec_id"), held.alias("v"))
 
 
@@ -129,7 +128,7 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, shard_rows: int
     Ties go to the smaller vec_id.  Rows with a null id, a null vector or a null
     or non-finite component take no part.  A query meets rows of its own length
     only.  Rows that repeat the query's id count as its own; other repeated rows
-    are candidates each.  Components are held to +-(2**31 - 1) and scores to the
+    are candidates each.  Components are held to +-2**62 and scores to the
     range of long.  An empty table gives no rows.
     """
     spark, folder = vectors.sparkSession, scratch(vectors.sparkSession, "kd")
