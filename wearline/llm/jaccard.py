@@ -52,7 +52,7 @@ class Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 400_000:
+        if len(self) >= 150_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -97,8 +97,8 @@ def signed(docs: DataFrame, trees: int = TREES, depth: int = DEPTH) -> DataFrame
         words = Words()
         for batch in batches:
             keys, sizes, labels = [], [], []
-            for text in batch.column("text").to_pylist():
-                s = shingles(text or b"", words)
+            for text in batch.column("text"):
+                s = shingles(text.as_py() or b"", words)
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sizes.append(len(s))
                 labels.append(signature(s, trees * depth).tobytes() if len(s) else None)

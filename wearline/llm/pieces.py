@@ -37,7 +37,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Words of one length that run together; longer words run alone.
 BATCH, LONG = 4096, 64
 #: Characters of text whose new words are learnt together.
-GROUP_CHARS = 8_000_000
+GROUP_CHARS = 2_000_000
 
 
 def _real(word: str) -> str:
@@ -47,7 +47,7 @@ def _real(word: str) -> str:
 class PieceModel:
     """Pieces and scores of a SentencePiece model, and a bounded table of segmented words."""
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 150_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -310,8 +310,8 @@ def encode_documents(docs: DataFrame, path: str, n_best: int = 4, with_ids: bool
         encoder = model(path)
         schema = pa.schema([("doc_id", pa.int64()), *([("source", pa.string())] if with_ids else []), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("score", pa.float64()), ("scores", pa.list_(pa.float64())), ("round_trip", pa.bool_()), *([("ids", pa.list_(pa.int32()))] if with_ids else [])])
         for batch in batches:
-            for a in range(0, batch.num_rows, 4096):
-                part = batch.slice(a, 4096)
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 counts, sums, best, lists, good, flat = [], [], [], [], [], []
                 for text, found in zip(texts, encoder.encode_all(texts, n_best, ids_of_all=False)):

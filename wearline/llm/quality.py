@@ -129,7 +129,7 @@ def measured(docs: DataFrame, carried: Sequence[str] = ("doc_id",)) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            found = [measure(t or b"") for t in batch.column("__text").to_pylist()]
+            found = [measure(t.as_py() or b"") for t in batch.column("__text")]
             counts = [pa.array([c[k] for c, _ in found], pa.int64()) for k in range(len(MEASURES))]
             pattern = pa.array([sum(p * (v + 1) for p, v in zip(power, votes)) for _, votes in found], pa.int32())
             kept = [batch.column(i) for i in range(len(fields))]
