@@ -153,7 +153,9 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, shard_rows: int
             "ids": pd.Series([[i for _, i in f] for f in found], dtype=object), "scores": pd.Series([[_held(s) for s, _ in f] for f in found], dtype=object),
         })
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    # the groups are small in bytes and heavy in work, so they are dealt to stated numbers of tasks, which stay apart
+    most = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).repartition(min(shards, most), "dim", "shard")
     queries = stored(dealt.groupBy("dim", "shard").applyInPandas(build, "query_id long, dim int, home int, q binary, kth long, ids array<long>, scores array<long>"), "kd-queries")
     there = dealt.select("dim", "shard").distinct()
     blocks = max(1, -(-queries.count() // block_rows))
@@ -170,7 +172,7 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, shard_rows: int
 
     # a block of queries goes to each shard of its length but the one it began in
     sent = queries.select("query_id", "dim", "home", "q", "kth", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).join(there, "dim").where("shard != home")
-    others = sent.groupBy("dim", "block", "shard").applyInPandas(search, "query_id long, q binary, vec_id long, score long")
+    others = sent.repartition(min(blocks * shards, most), "dim", "block", "shard").groupBy("dim", "block", "shard").applyInPandas(search, "query_id long, q binary, vec_id long, score long")
     homes = queries.select("query_id", "q", F.inline(F.arrays_zip(F.col("ids").alias("vec_id"), F.col("scores").alias("score"))))
     homes = homes.toDF("query_id", "q", "vec_id", "score")
     order = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
