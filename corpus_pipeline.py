@@ -34,8 +34,15 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, piece ids of the best segmentation and scores of the four best."""
-    return encode_documents(docs, default_model()).select("doc_id", "source", "n_ids", "ids_crc32", "score", "scores", "round_trip", "ids")
+    """doc_id, source, piece ids of the best segmentation, scores of the four best, and the row's slot and place in the mixture.
+
+    Written tables keep no order of rows, and the stages between pass on the columns
+    of ``documents`` only.  The schedule depends on nothing but the rows, so it is
+    found again here: in order of (slot, place) the rows are the mixture.
+    """
+    mixed = mix_sources(docs.select("doc_id", "text", "source")).drop("source_block", "due")
+    out = encode_documents(mixed, default_model(), carried=("slot", "place"))
+    return out.select("doc_id", "source", "n_ids", "ids_crc32", "score", "scores", "round_trip", "ids", "slot", "place")
 
 
 STAGES = [

@@ -399,3 +399,24 @@ def test_pipeline_equals_plain_stages(spark):
     mixed = corpus_pipeline.mixture(spark, docs, DATA)
     assert mixed.columns == docs.columns and mixed.count() == docs.count()
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "mixing sources to target weights", "SentencePiece encoding"]
+
+
+@data
+def test_pipeline_rows_bear_the_mixture(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    got = sorted(corpus_pipeline.run(spark, DATA).select("doc_id", "source", "slot", "place").collect(), key=lambda r: (r["slot"], r["place"]))
+    texts = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", F.xxhash64(F.lit(42), "doc_id", "text").alias("h"))
+    order = {r["doc_id"]: r["h"] for r in texts.collect()}
+    members = collections.defaultdict(list)
+    for r in got:
+        members["n" if r["source"] is None else "s" + r["source"]].append(r["doc_id"])
+    blocks = {}
+    for s, ids in members.items():
+        ids.sort(key=lambda d: (order[d], d))  # few rows: one bucket, so in order of the hash as it is
+        blocks[s] = [ids[a : a + 16] for a in range(0, len(ids), 16)]
+    root = sum(math.sqrt(len(b)) for b in blocks.values())
+    quota = {s: max(1, round(1000 * math.sqrt(len(b)) / root)) for s, b in blocks.items()}
+    queue = {s: iter(b) for s, b in blocks.items()}
+    want = [next(queue[s]) for s in plain_mixture({s: len(b) for s, b in blocks.items()}, quota)]
+    assert len(want) > 1 and [r["doc_id"] for r in got] == [d for block in want for d in block]
+    assert [(r["slot"], r["place"]) for r in got] == [(t, i) for t, block in enumerate(want) for i in range(len(block))]

@@ -21,6 +21,7 @@ import heapq
 import itertools
 import re
 import zlib
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -296,9 +297,11 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode_documents(docs: DataFrame, path: str, n_best: int = 4, with_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, n_best: int = 4, with_ids: bool = True, carried: Sequence[str] = ()) -> DataFrame:
     """doc_id, n_ids, ids_crc32, score, scores (the n best), round_trip and, if asked for, ids (best) and source.
 
+    ``carried``: further columns of ``docs`` that stand, as they are, at the end of each row.
+
     round_trip: decoding the ids gives the whole text.  Null text counts as empty,
     with no ids, score 0 and one segmentation; rows that repeat an id are encoded
     each; an empty table gives no rows; other columns are not read.
@@ -309,7 +312,9 @@ def encode_documents(docs: DataFrame, path: str, n_best: int = 4, with_ids: bool
 
         encoder = model(path)
         schema = pa.schema([("doc_id", pa.int64()), *([("source", pa.string())] if with_ids else []), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("score", pa.float64()), ("scores", pa.list_(pa.float64())), ("round_trip", pa.bool_()), *([("ids", pa.list_(pa.int32()))] if with_ids else [])])
+        whole = None
         for batch in batches:
+            whole = whole or pa.schema([*schema, *(batch.schema.field(c) for c in carried)])
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
                 texts = [t or "" for t in part.column("text").to_pylist()]
@@ -326,10 +331,10 @@ def encode_documents(docs: DataFrame, path: str, n_best: int = 4, with_ids: bool
                 if with_ids:
                     offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.int32())
                     columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat).astype(np.int32), pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                yield pa.RecordBatch.from_arrays([*columns, *(part.column(c) for c in carried)], schema=whole)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *([F.col("source").cast("string").alias("source")] if with_ids else []), "text")
-    return rows.mapInArrow(run, "doc_id long, " + ("source string, " if with_ids else "") + "n_ids long, ids_crc32 long, score double, scores array<double>, round_trip boolean" + (", ids array<int>" if with_ids else ""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *([F.col("source").cast("string").alias("source")] if with_ids else []), "text", *carried)
+    return rows.mapInArrow(run, "doc_id long, " + ("source string, " if with_ids else "") + "n_ids long, ids_crc32 long, score double, scores array<double>, round_trip boolean" + (", ids array<int>" if with_ids else "") + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried))
 
 
 def op6_sentencepiece(spark, sf_dir: str, path: str | None = None) -> DataFrame:
