@@ -101,6 +101,18 @@ def test_long_words_and_a_full_table(pieces):
         assert pieces.decode(found[0][1]) == text and found[0][0] >= found[1][0]
 
 
+def test_more_distinct_words_than_the_table_holds(pieces):
+    from wearline.llm.pieces import PieceModel, default_model
+
+    wide = PieceModel(default_model())
+    words = [f"id{i * 7919 % 1000} the" for i in range(1000)]
+    # the second text's own words fit once, beside those of the third they do not
+    texts = ["\n".join(words), " ".join(f"a{i}" for i in range(150)), " ".join(f"a{i}" for i in range(100, 280)), "the end"]
+    for text, small, large in zip(texts, pieces.encode_all(texts, 4), wide.encode_all(texts, 4), strict=True):
+        assert [(s, ids.tolist()) for s, ids in small] == [(s, ids.tolist()) for s, ids in large]
+        assert len(small) == 4 and all(pieces.decode(ids) == text for _, ids in small)
+
+
 # ---- quality
 
 

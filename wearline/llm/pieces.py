@@ -247,6 +247,25 @@ class PieceModel:
             top = sorted(top + more, key=lambda x: -x[0])[:n]
         return top[1:]
 
+    def _looked_up(self, words: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Codes, scores and losses of a text's words, learnt in runs that the table holds."""
+        codes, scores, loss = [], [np.zeros(0)], [np.zeros(0)]
+        for a in range(0, len(words), self.room):
+            run = words[a : a + self.room]
+            places = list(map(self.place.get, run))
+            if None in places:
+                new = {w for w, x in zip(run, places) if x is None}
+                if len(self.place) + len(new) > self.room:
+                    self._empty()
+                    new = set(run)
+                self._learn(new)
+                places = list(map(self.place.__getitem__, run))
+            at = np.array(places, np.int64)
+            codes += map(self.codes.__getitem__, places)
+            scores.append(self.best[at])
+            loss.append(self.loss[at])
+        return codes, np.concatenate(scores), np.concatenate(loss)
+
     def encode_all(self, texts: list[str], n: int = 1, ids_of_all: bool = True):
         """encode() of each text, with new words of many texts learnt together; without ids_of_all only the best has ids."""
         ends = np.cumsum([len(t) for t in texts]) // GROUP_CHARS
@@ -257,19 +276,15 @@ class PieceModel:
                 if None in (got := list(map(self.place.get, words))):
                     new.update(w for w, x in zip(words, got) if x is None)
             if len(self.place) + len(new) > self.room:
-                self._empty()  # and learn text by text, if need be
+                self._empty()  # and learn by runs of words, if need be
                 new = set().union(*split)
             if len(new) <= self.room:
                 self._learn(new)
             for words in split:
-                if len(new) > self.room:
-                    self._learn({w for w in words if w not in self.place})
-                    self._learn({w for w in words if w not in self.place})  # what an emptied table lost
-                places = list(map(self.place.__getitem__, words))
-                at = np.array(places, np.int64)
-                codes, best = list(map(self.codes.__getitem__, places)), float(self.best[at].sum())
+                codes, scores, loss = self._looked_up(words)
+                best = float(scores.sum())
                 out = [(best, np.frombuffer(b"".join(codes), "<u4"))]
-                for lost, cut in self._alternatives(words, self.loss[at], n):
+                for lost, cut in self._alternatives(words, loss, n):
                     if ids_of_all:
                         other = list(codes)
                         for k, ids in cut.items():
