@@ -156,6 +156,31 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_relative_targets(spark):
+    from urllib.parse import urljoin
+
+    bases = ["https://a.net/x/y/p.html?q=1#f", "https://a.net", "http://a.net/"]
+    targets = ["page.html", "../x", "../../../z?k", "./", ".", "..", "?id=1", "/r/../s", "//b.net/c", "https://c.net/d/e", "a/./b/../c#g", "sub/p?u=http://h/", "#t", "mailto:x", "..a/.b"]
+    cases = [(b, t) for b in bases for t in targets]
+    got = spark.createDataFrame(cases, "b string, t string").select("b", "t", url_filter.resolved(F.col("b"), F.col("t")).alias("u")).collect()
+    assert {(r["b"], r["t"]): r["u"] for r in got} == {(b, t): None if t == "mailto:x" else urljoin(b, t) for b, t in cases}
+    # urljoin leaves dots in whole URLs, RFC 3986 does not
+    whole = spark.createDataFrame([("https://c.net/d/../e/./f?a/../b",)], "t string").select(url_filter.resolved(F.lit(bases[0]), F.col("t")).alias("u"))
+    assert whole.first()["u"] == "https://c.net/e/f?a/../b"
+
+
+def test_every_alias_of_a_page(spark):
+    rows = [
+        (1, "https://x.net/a/p", '<link rel=canonical href="page.html">'), (2, "https://x.net/a/page.html", '<meta http-equiv=refresh content="0; url=https://z.com/de/1">'),
+        (3, "https://y.net/a/b/c", "<meta http-equiv='Refresh' content='0; url=../q'>"), (4, "https://y.net/a/q", '<link rel="canonical" href="https://k.net/">\n<LINK REL="shortlink Canonical" HREF="https://z.com/de/2">'),
+        (5, "https://w.net/i?x", '<meta http-equiv="refresh" content="5"><meta content="3;?id=1" http-equiv=refresh>'), (6, "https://w.net/i?id=1", '<link rel=canonical href=//z.com/de/3>'),
+        (7, "https://v.net/1", '<head><base href="/de/"><link rel=canonical href="4">'), (8, "https://v.net/de/4", '<base target=_top><base href="https://z.com/de/"><link rel=canonical href=x>'),
+        (9, "https://u.net/1", '<link rel=canonicals href="https://z.com/de/"><link data-rel=canonical rel=icon href="https://z.com/de/"><meta name=refresh content="0; url=https://z.com/de/">'), (10, "no scheme", "<link rel=canonical href=x>"), (11, "https://t.net/", None),
+    ]
+    got = {r["page_id"]: r["decided_by"] for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: "alias" if k <= 8 else "default" for k in range(1, 12)}
+
+
 # ---- 4
 
 

@@ -29,8 +29,10 @@ RULES = (
     ("block", "com", "/de/"),
 )
 
-_CANONICAL = r"""(?is)<link\b[^>]*?\brel\s*=\s*["']?canonical\b[^>]*>"""
-_REFRESH = r"""(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
+_TAGS = r"(?is)<(?:link|meta|base)\b[^>]*>"
+_ATTRIBUTE = r"""(?is)[\s"'/]%s\s*=\s*(?:"\s*([^"]*?)\s*"|'\s*([^']*?)\s*'|([^\s>"']+))"""
+#: A refresh's target, after its seconds: with url= and, as browsers have it, without.
+_REFRESH = (r"""(?is)^[\s\d.]*[;,]?\s*url\s*=\s*['"]?\s*([^'"\s]+)""", r"""(?is)^\s*[\d.]+\s*[;,\s]\s*['"]?\s*([^'"\s]+)""")
 
 
 def host_of(url: Column) -> Column:
@@ -60,24 +62,72 @@ def node_of(url: Column) -> Column:
     return F.when(F.instr(bare, "://") > 0, F.concat(ascii_lower(F.regexp_extract(bare, r"(?s)^(.*?)://", 1)), F.lit("://"), host_of(bare), F.regexp_extract(bare, r"(?s)^.*?://[^/?#]*(.*)$", 1)))
 
 
+def without_dots(path: Column) -> Column:
+    """A path that opens with a slash, its '.' and '..' segments resolved."""
+
+    def step(done: Column, segment: Column) -> Column:
+        up = F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
+        return F.when(segment == "..", up).when(segment == ".", done).otherwise(F.concat(done, F.array(segment)))
+
+    kept = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    folder = F.when(path.rlike(r"(?s)/\.\.?$"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.when(path.rlike(r"(?s)/\.\.?(?:/|$)"), F.array_join(F.concat(kept, folder), "/")).otherwise(path)
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """``target`` as a URL, read on a page at ``base`` (RFC 3986); null if either is no URL with ``://``."""
+    origin, path = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1), path_of(base)
+    own, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1))
+    query = F.regexp_extract(base, r"(?s)^[^?#]*(\?[^#]*)", 1)
+
+    def normal(url: Column) -> Column:
+        return F.concat(F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), without_dots(path_of(url)), F.regexp_extract(url, r"(?s)^.*?://[^?#]*(.*)$", 1))
+
+    return (
+        F.when(target.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.\-]*://"), normal(target)).when(target.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.\-]*:"), None)
+        .when(origin == "", None)
+        .when(target.startswith("//"), normal(F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), target)))
+        .when(target.startswith("/"), F.concat(origin, without_dots(own), rest))
+        .when(own != "", F.concat(origin, without_dots(F.concat(folder, own)), rest))
+        .when(target.startswith("?"), F.concat(origin, path, rest))
+        .otherwise(F.concat(origin, path, query, rest))
+    )
+
+
 def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): a page's node and the node it redirects to or names as canonical.
+    """(a, b): a page's node and each node it redirects to or names as canonical.
 
-    Root-relative targets are resolved against the page; other relative ones are left out.
+    Relative targets are resolved against the page, or against its first ``<base href>``.
     """
-    u, h = F.col(url), F.col(html)
-    quoted = r"""(?is)%s\s*=\s*(?:"\s*([^"]*?)\s*"|'\s*([^']*?)\s*'|([^\s>"']+))"""
 
     def attribute(tag: Column, name: str) -> Column:
-        return F.concat(*(F.regexp_extract(tag, quoted % name, k) for k in (1, 2, 3)))
-
-    canonical = attribute(F.regexp_extract(h, _CANONICAL, 0), r"\bhref")
-    refresh = F.regexp_extract(attribute(F.regexp_extract(h, _REFRESH, 0), r"\bcontent"), r"""(?is)\burl\s*=\s*['"]?([^'"\s]+)""", 1)
-    found = pages.select(u.alias("u"), F.explode(F.array(canonical, refresh)).alias("t")).where("t != ''")
-    target = F.regexp_replace("t", "&amp;", "&")
-    origin = F.regexp_extract("u", r"(?s)^(.*?://[^/?#]*)", 1)
-    whole = F.when(F.instr(target, "://") > 0, target).when(target.startswith("//"), F.concat(F.regexp_extract("u", r"(?s)^(.*?:)//", 1), target)).when(target.startswith("/"), F.concat(origin, target))
-    return found.select(node_of(F.col("u")).alias("a"), node_of(whole).alias("b")).where("a is not null and b is not null and a != b")
+        return F.concat(*(F.regexp_extract(tag, _ATTRIBUTE % name, k) for k in (1, 2, 3)))
+
+    def kind(tag: Column) -> Column:
+        return ascii_lower(F.substring(tag, 2, 4))
+
+    def words(value: Column) -> Column:
+        return F.split(ascii_lower(value), r"[\x20\x09-\x0D]+")
+
+    def target(tag: Column) -> Column:
+        content = attribute(tag, "content")
+        with_name, bare = (F.regexp_extract(content, x, 1) for x in _REFRESH)
+        link = F.when(F.array_contains(words(attribute(tag, "rel")), "canonical"), attribute(tag, "href"))
+        refresh = F.when(ascii_lower(attribute(tag, "http-equiv")) == "refresh", F.when(with_name != "", with_name).otherwise(bare))
+        return F.when(kind(tag) == "link", link).when(kind(tag) == "meta", refresh)
+
+    def spelled(value: Column) -> Column:
+        return F.regexp_replace(value, "&amp;", "&")
+
+    tags = pages.select(F.col(url).alias("u"), F.regexp_extract_all(F.col(html), F.lit(_TAGS), F.lit(0)).alias("tags"))
+    bases = F.filter(F.transform(F.filter("tags", lambda t: kind(t) == "base"), lambda t: spelled(attribute(t, "href"))), lambda x: x != "")
+    targets = F.filter(F.transform("tags", target), lambda x: x != "")
+    found = tags.select("u", F.try_element_at(bases, F.lit(1)).alias("base"), F.explode(F.array_distinct(targets)).alias("t"))
+    found = found.withColumn("base", F.when(F.col("base").isNull(), F.col("u")).otherwise(F.coalesce(resolved(F.col("u"), F.col("base")), F.col("u"))))
+    found = found.withColumn("t", spelled(F.col("t"))).withColumn("t", resolved(F.col("base"), F.col("t")))
+    edges = found.select(node_of(F.col("u")).alias("a"), node_of(F.col("t")).alias("b"))
+    return edges.where("a is not null and b is not null and a != b")
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, edges: DataFrame | None = None) -> DataFrame:
