@@ -122,6 +122,16 @@ def test_mixture_equals_a_plain_simulation(spark, monkeypatch, weights):
     assert (mixed["slot"] < mixed["due"]).all() and mixed.groupby(["slot"]).size().max() == 4
 
 
+def test_mixture_of_equal_rows_in_order(spark):
+    rows = [(1, "same", "a", k) for k in range(40)] + [(None, None, None, k) for k in range(5)] + [(2, "same", "a", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, other int")
+    first, second = (sorted((r["slot"], r["place"], r["doc_id"], r["other"]) for r in mixture.mix_sources(d, block_docs=4).collect() if r["doc_id"]) for d in (df, df.repartition(3, "other")))
+    assert first == second and len({r[:2] for r in first}) == 41
+    ordered = mixture.in_mixture_order(mixture.mix_sources(df, block_docs=4).withColumn("s", F.col("slot")), 3)
+    parts = [[r["s"] for r in p] for p in ordered.rdd.glom().collect()]
+    assert len(parts) == 3 and [s for p in parts for s in p] == sorted(s for p in parts for s in p) and all(parts)
+
+
 def test_mixture_edges(spark, docs):
     clash = mixture.mix_sources(docs.withColumnRenamed("shard", "slot").withColumnRenamed("n", "__key"))
     assert sorted(clash.columns) == sorted(["doc_id", "text", "source", "slot_in", "__key", *mixture.SCHEDULE]) and clash.count() == len(ROWS)
@@ -217,6 +227,8 @@ def test_quality(spark, docs):
     assert [r["n_words"] for r in got] == [14, 14, 0, 0, 14, 0, 3001, 2, 2, 4]
     assert got[0]["n_repeat_words"] == 6 and got[6]["base_failed"] and got[6]["n_repeat_words"] == 3000
     assert quality.judge_quality(docs.limit(0)).count() == 0
+    twice = quality.judge_quality(docs.withColumn("pattern", F.lit("p")).withColumn("kept", F.col("n")), ("doc_id", "pattern", "kept", "n"), store=False).orderBy("n").collect()
+    assert [(r["n"], r["kept_in"], r["pattern"], r["n_words"], r["quality"]) for r in twice] == [(r["n"], r["n"], "p", r["n_words"], r["quality"]) for r in got]
 
 
 @data
@@ -365,28 +377,83 @@ def near_rows(seed=1, families=12):
     return rows
 
 
+def joined(df):
+    return sorted((tuple(r) for r in jaccard.join_near_copies(df).select("doc_id", "class_id", "n_links").collect()), key=str)
+
+
 def test_near_copies(spark, monkeypatch):
     rows = near_rows()
     df = spark.createDataFrame([(*r, "m") for r in rows], "doc_id long, text string, labels string")
-    want = sorted(plain_classes(rows))
-    got = jaccard.join_near_copies(df).select("doc_id", "class_id", "n_links").collect()
-    assert sorted(map(tuple, got)) == want and sum(r[2] for r in want) > 100
+    want = sorted(plain_classes(rows), key=str)
+    assert joined(df) == want and sum(r[2] for r in want) > 100
     monkeypatch.setattr(jaccard, "BLOCK_CLASSES", 3)  # large groups, in many blocks
-    got = jaccard.join_near_copies(df).select("doc_id", "class_id", "n_links").collect()
-    assert sorted(map(tuple, got)) == want
+    assert joined(df) == want
     kept = jaccard.one_of_each(df.withColumnRenamed("labels", "__text"))
     assert kept.columns == ["doc_id", "text", "__text"]
     kept = jaccard.one_of_each(df)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c, _ in want}) and kept.columns == df.columns
 
 
+def test_shortened_prefixes_find_the_links_at_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", 4)
+    rng, rows = np.random.default_rng(11), []
+    for _ in range(120):  # one changed word in a text of 50 to 55: similarity of 0.80 to 0.82
+        base = [f"w{x}" for x in rng.integers(0, 10**6, int(rng.integers(50, 56)))]
+        other = list(base)
+        other[int(rng.integers(10, 40))] = "new"
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    drift = [f"c{x}" for x in range(400)]  # a chain: each text near the one before it, far from most
+    rows += [(1000 + i, " ".join(drift[3 * i : 3 * i + 90])) for i in range(60)]
+    got, want = joined(spark.createDataFrame(rows, "doc_id long, text string")), sorted(plain_classes(rows), key=str)
+    lost = sum(w[2] for w in want) - sum(g[2] for g in got)
+    assert 0 <= lost <= 2 and sum(w[2] for w in want) > 300  # the recall for links at the threshold is 0.9996
+    if not lost:
+        assert got == want
+
+
+def test_null_and_repeated_ids_keep_their_links(spark):
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base[:k] + ["x", "y"][k % 2 : k % 2 + 1] + base[k + 1 :]) for k in (3, 50, 90, 117)]
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, other), (7, other), (8, other + " end"), (None, other.replace("v5 ", "q ")), (9, "quite another one")]
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == sorted(plain_classes(rows), key=str)
+
+
+def test_trie_links_are_runs_of_sorted_labels(spark):
+    rng = np.random.default_rng(2)
+    labels = rng.integers(0, 3, (90, 2, 4)).astype(np.uint16)
+    rows = [(bytes([i]) * 16, labels[i].tobytes()) for i in range(90)]
+    df = spark.createDataFrame(rows, "set_key binary, labels binary").repartition(5)
+    got = [(bytes(r["a"]), bytes(r["b"]), r["depth"]) for r in jaccard.trie_links(df, 2, 4, 2).collect()]
+    want = []
+    for t in range(2):
+        order = sorted((labels[i, t].tobytes(), rows[i][0], i) for i in range(90))
+        for (_, a, i), (_, b, j) in zip(order, order[1:]):
+            d = next((k for k in range(4) if labels[i, t, k] != labels[j, t, k]), 4)
+            want += [(a, b, d)] * (d >= 2)
+    assert sorted(got) == sorted(want) and len(want) > 50
+
+
 def test_near_copy_edges(spark, docs):
-    got = sorted((tuple(r) for r in jaccard.join_near_copies(docs).select("doc_id", "class_id", "n_links").collect()), key=str)
-    assert got == sorted(plain_classes([r[:2] for r in ROWS]), key=str)
+    assert joined(docs) == sorted(plain_classes([r[:2] for r in ROWS]), key=str)
     assert sorted(str(r["doc_id"]) for r in jaccard.one_of_each(docs).collect()) == sorted(map(str, (1, 2, 3, 5, 6, 7, -4)))
     assert jaccard.join_near_copies(docs.limit(0)).count() == 0
 
 
+def test_operators_leave_only_what_their_results_read(spark, docs):
+    jvm = spark.sparkContext._jvm
+
+    def left():
+        path = jvm.org.apache.hadoop.fs.Path(common.scratch(spark, "x")).getParent()
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return {f.getPath().getName() for f in system.listStatus(path)} if system.exists(path) else set()
+
+    for run in (lambda: jaccard.one_of_each(docs), lambda: mixture.mix_sources(docs), lambda: class_lm.score_documents(docs, rounds=1), lambda: quality.judge_quality(docs)):
+        before = left()
+        out = run()
+        assert len(left() - before) <= 3 and out.count() >= 0
+
+
 # ---- oracles and the pipeline
 
 

@@ -203,17 +203,37 @@ def test_shingles_and_verification():
     sets = [s for s in sets if len(s)]
     plain = [plain_shingles(t) for t in texts if plain_shingles(t)]
     copies = np.arange(1, len(sets) + 1)
-    links, edges = jaccard.verify(sets, np.zeros((len(sets), 2), np.uint64), copies, len(sets), True)
     near = [[i != j and len(a & b) / len(a | b) >= 0.8 for j, b in enumerate(plain)] for i, a in enumerate(plain)]
-    assert links.tolist() == [int(copies[np.array(row)].sum()) for row in near]
-    assert all(near[a][b] for a, b in edges) and len(edges) <= len(sets) - 1
-    half, _ = jaccard.verify(sets, np.zeros((len(sets), 2), np.uint64), copies, 4, False)
-    assert half.tolist() == [int(copies[[j for j in range(len(sets)) if near[i][j] and (i < 4) != (j < 4)]].sum()) for i in range(len(sets))]
 
-
-def test_depth_shortens_to_the_recall():
-    assert jaccard.search_depth(0.8, 0.9995, 20, 8) == 5 and jaccard.search_depth(0.8, 0.9, 20, 8) == 9 - 1
-    assert jaccard.search_depth(0.5, 0.999999, 4, 8) == 1
+    def verified(pairs):
+        made = jaccard.Verifier(sets, copies)
+        for i in range(len(sets)):
+            made.check(i, np.array([j for j in range(i + 1, len(sets)) if pairs(i, j)], np.int64))
+        assert all(near[a][b] for a, b in made.forest.edges) and len(made.forest.edges) <= len(sets) - 1
+        assert made.found.sum() == sum(near[i][j] for i in range(len(sets)) for j in range(i) if pairs(j, i))
+        return made.links.tolist()
+
+    assert verified(lambda i, j: True) == [int(copies[np.array(row)].sum()) for row in near]
+    assert verified(lambda i, j: (i < 4) != (j < 4)) == [int(copies[[j for j in range(len(sets)) if near[i][j] and (i < 4) != (j < 4)]].sum()) for i in range(len(sets))]
+
+
+def test_prefixes_shorten_until_the_recall_is_met():
+    found = np.zeros((jaccard.BANDS, jaccard.BINS), np.int64)
+    # nothing known: as far as a link at the threshold needs
+    assert [len(jaccard.unfinished(found, level)) == 0 for level in (8, 7, 6, 5)] == [False, False, False, True]
+    found[:, -1] = 1000  # all links nearly equal: whole labels find them
+    assert len(jaccard.unfinished(found, 8)) == 0
+    found[3, 0] = 400  # one band with links at the threshold
+    assert jaccard.unfinished(found, 8).tolist() == [3] and jaccard.unfinished(found, 6).tolist() == [3] and not len(jaccard.unfinished(found, 5))
+
+
+def test_estimated_recall_is_the_recall():
+    # links of many similarities, found or missed as the forest would: the estimate of the missed share holds
+    rng = np.random.default_rng(8)
+    s = 0.8 + 0.2 * rng.random(200_000) ** 2
+    seen = rng.random(len(s)) < 1 - (1 - s**8) ** 20
+    p = 1 - (1 - s[seen] ** 8) ** 20
+    assert abs((1 / p - 1).sum() / (~seen).sum() - 1) < 0.1
 
 
 # ---- HTML

@@ -1,55 +1,25 @@
 """What the operators of this subpackage share: scratch tables, files, components.
 
 Everything that outlives one task goes to the folder that the session names in
-``spark.checkpoint.dir`` (a folder of our own where it is unset, as in local
-tests).  Executors and driver see that folder alike, so a lost executor costs a
-re-run of its tasks and nothing else.
+``spark.checkpoint.dir`` (see :mod:`wearline.scratch`).  Executors and driver
+see that folder alike, so a lost executor costs a re-run of its tasks and nothing
+else.  An operator drops its tables as soon as nothing reads them; what its
+result reads is one narrow table.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words are runs of anything but the six ASCII blanks (fixed by the contract).
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/wearline-{spark.sparkContext.applicationId}"
-    return (base if "://" in base or base.startswith("file:") else f"file://{base}").rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh URI in the shared folder."""
-    return f"{shared_dir(spark)}/wearline/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._wearline_path = path
-    return out
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Delete what :func:`stored` wrote, once nothing reads it any more."""
-    for df in tables:
-        delete(df.sparkSession, df._wearline_path)
+from ..scratch import delete, dropped, scratch, shared_dir, stored
 
+__all__ = ["WORD", "ascii_lower", "connected_components", "delete", "dropped", "file_system", "scratch", "shared_dir", "stored", "write_atomically"]
 
-def delete(spark: SparkSession, uri: str) -> None:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+#: Words are runs of anything but the six ASCII blanks (fixed by the contract).
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def file_system(uri: str):
@@ -87,7 +57,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     aggregations, each joined back to the edges; both keep the number of edges
     linear, and a hot node is split by adaptive skew joins.  A round's edges are
     written to the shared folder, so lineage stays one round long.
-    Null ends and self-loops are ignored; no edges give no rows.
+    Null ends and self-loops are ignored; no edges give no rows.  The result
+    reads one stored table, which :func:`dropped` takes away.
     """
     x, y = F.col(a), F.col(b)
     e = stored(edges.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(), "edges")
@@ -106,4 +77,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     else:
         if mark[0]:
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out._wearline_path = e._wearline_path
+    return out

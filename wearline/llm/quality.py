@@ -119,12 +119,13 @@ def posterior(votes: np.ndarray, share: float, good: np.ndarray, bad: np.ndarray
 
 
 def measured(docs: DataFrame, carried: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The ``carried`` columns, MEASURES and ``pattern``: the votes as a number in base 3."""
+    """__c0, __c1, ... (the ``carried`` columns), MEASURES and ``pattern``: the votes as a number in base 3."""
     import pyarrow as pa
+    from pyspark.sql import types as T
 
-    columns = [F.col(c) for c in carried]
+    columns = [F.col(c).alias(f"__c{i}") for i, c in enumerate(carried)]
     inner = docs.select(*columns, F.col("text").cast("binary").alias("__text"))
-    fields = [f for f in docs.select(*columns).schema.fields]
+    fields = inner.schema.fields[:-1]
     power = [3**k for k in range(len(RULES))]
 
     def run(batches):
@@ -135,22 +136,25 @@ def measured(docs: DataFrame, carried: Sequence[str] = ("doc_id",)) -> DataFrame
             kept = [batch.column(i) for i in range(len(fields))]
             yield pa.RecordBatch.from_arrays([*kept, *counts, pattern], [*(f.name for f in fields), *MEASURES, "pattern"])
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([*fields, *(T.StructField(m, T.LongType()) for m in MEASURES), T.StructField("pattern", T.IntegerType())])
     return inner.mapInArrow(run, schema)
 
 
-def judge_quality(docs: DataFrame, carried: Sequence[str] = ("doc_id",), least: float = 0.5) -> DataFrame:
+def judge_quality(docs: DataFrame, carried: Sequence[str] = ("doc_id",), least: float = 0.5, store: bool = True) -> DataFrame:
     """``carried`` columns, MEASURES, base_failed, quality (posterior) and kept.
 
+    ``store``: measures are kept in the shared folder between the two passes.
+    Without it each document is measured twice, once for the model and once for
+    its verdict: right where whole texts are carried, of which no copy is then written.
+
     Null and empty texts have no words and fail; repeated rows and ids are
     judged one by one; an empty table gives no rows; columns that are not
-    carried are not read.
+    carried are not read; a carried column with a name of the result gets ``_in`` after it.
     """
     spark = docs.sparkSession
-    table = stored(measured(docs, carried), "quality")
-    histogram = [(r.pattern, r.n) for r in table.groupBy("pattern").agg(F.count("*").alias("n")).collect()]  # at most 3 ** len(RULES)
+    table = stored(measured(docs, carried), "quality") if store else measured(docs, carried)
+    votes = table if store else measured(docs, ())
+    histogram = [(r.pattern, r.n) for r in votes.groupBy("pattern").agg(F.count("*").alias("n")).collect()]  # at most 3 ** len(RULES)
     histogram.sort()
     digits = [[p // 3**k % 3 - 1 for k in range(len(RULES))] for p, _ in histogram]
     model = fit([(d, n) for d, (_, n) in zip(digits, histogram)])
@@ -159,7 +163,9 @@ def judge_quality(docs: DataFrame, carried: Sequence[str] = ("doc_id",), least:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     # at most 3 ** len(RULES) rows
     joined = table.join(F.broadcast(judged), "pattern").withColumn("base_failed", failed)
-    return joined.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least)).drop("pattern")
+    joined = joined.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
+    result = (*MEASURES, "base_failed", "quality", "kept")
+    return joined.select(*(F.col(f"__c{i}").alias(f"{c}_in" if c in result else c) for i, c in enumerate(carried)), *result)
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
