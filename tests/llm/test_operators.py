@@ -245,7 +245,7 @@ def test_quality_agrees_with_labels(spark):
 def test_pieces_of_tables(spark, docs):
     path = pieces.default_model()
     got = collections.defaultdict(list)
-    for r in pieces.encode_documents(docs, path).collect():
+    for r in pieces.encode_documents(docs, path, every=True).collect():
         got[r["doc_id"]].append(r)
     assert sum(map(len, got.values())) == len(ROWS) and all(r["round_trip"] for x in got.values() for r in x)
     model = pieces.model(path)
@@ -253,7 +253,9 @@ def test_pieces_of_tables(spark, docs):
         best = model.encode(text or "", 4)
         r = got[doc].pop(0)
         assert r["ids"] == best[0][1].tolist() and r["scores"] == [s for s, _ in best] and r["n_ids"] == len(r["ids"])
-        assert r["ids_crc32"] == zlib.crc32(best[0][1].tobytes())
+        assert r["ids_crc32"] == zlib.crc32(best[0][1].tobytes()) and r["segmentations"] == [ids.tolist() for _, ids in best]
+        assert r["crc32s"] == [zlib.crc32(ids.tobytes()) for _, ids in best] and all(model.decode(ids) == (text or "") for _, ids in best)
+    assert [tuple(r) for r in pieces.encode_documents(docs.where("n = 9"), path).select("n_ids", "score").collect()] == [(len(model.encode("one two")[0][1]), model.encode("one two")[0][0])]
     assert pieces.encode_documents(docs.limit(0), path).count() == 0
 
 

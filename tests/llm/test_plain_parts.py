@@ -101,6 +101,28 @@ def test_long_words_and_a_full_table(pieces):
         assert pieces.decode(found[0][1]) == text and found[0][0] >= found[1][0]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet=st.sampled_from("theinxq\u4e16\u00e9\U0010fffe"), min_size=1, max_size=60))
+def test_long_words_as_short_ones(pieces, word):
+    (codes,), (best,), (loss,) = pieces._segment([word])
+    assert pieces._segment_alone(word) == (codes, best, loss)
+
+
+def test_very_long_texts_and_words():
+    import time
+
+    from wearline.llm.pieces import PieceModel, default_model
+
+    model, rng = PieceModel(default_model()), np.random.default_rng(0)
+    word = "".join(rng.choice(list("etaoinshr"), 200_000))
+    many = " ".join(f"{x:x}" for x in rng.integers(0, 2**60, 400_000))
+    began = time.process_time()
+    for text, found in zip([word, many], model.encode_all([word, many], 3), strict=True):
+        assert [s for s, _ in found] == sorted((s for s, _ in found), reverse=True) and len(found) == 3
+        assert all(model.decode(ids) == text for _, ids in found)
+    assert time.process_time() - began < 120
+
+
 def test_more_distinct_words_than_the_table_holds(pieces):
     from wearline.llm.pieces import PieceModel, default_model
 

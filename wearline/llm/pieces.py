@@ -35,7 +35,7 @@ PENALTY = 10.0
 #: Every segment opens with blanks or line ends.
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n+[^{SPACE}\n]*")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Words of one length that run together; longer words run alone.
+#: Words of one length that run together; words of more than LONG characters run alone.
 BATCH, LONG = 4096, 64
 #: Characters of text whose new words are learnt together.
 GROUP_CHARS = 2_000_000
@@ -48,7 +48,7 @@ def _real(word: str) -> str:
 class PieceModel:
     """Pieces and scores of a SentencePiece model, and a bounded table of segmented words."""
 
-    def __init__(self, path: str, room: int = 150_000):
+    def __init__(self, path: str, room: int = 300_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -86,9 +86,22 @@ class PieceModel:
     def _empty(self) -> None:
         self.place: dict[str, int] = {}
         self.codes: list[bytes] = []
-        self.best, self.loss = np.zeros(self.room + 1), np.zeros(self.room + 1)
+        self.best, self.loss, self.used = np.zeros(self.room + 1), np.zeros(self.room + 1), np.zeros(self.room + 1, np.int32)
         self.found: dict[str, list] = {}
 
+    def _forget(self) -> None:
+        """Keep what several texts have used, at most half of the table: most words occur once, and would push out the rest."""
+        n = len(self.codes)
+        often = np.flatnonzero(self.used[:n] > 1)
+        if len(often) > self.room // 2:
+            often = np.sort(often[np.argpartition(-self.used[often], self.room // 2)[: self.room // 2]])
+        words, codes, found, k = list(self.place), self.codes, self.found, len(often)
+        best, loss, used = self.best[often], self.loss[often], self.used[often] // 2
+        self._empty()
+        self.place = {words[i]: at for at, i in enumerate(often.tolist())}
+        self.codes, self.found = [codes[i] for i in often.tolist()], found
+        self.best[:k], self.loss[:k], self.used[:k] = best, loss, used
+
     @staticmethod
     def _hashes(chars: np.ndarray, longest: int) -> list[np.ndarray]:
         """For lengths 1, 2, ...: hashes of the substrings of each row by their start."""
@@ -108,36 +121,48 @@ class PieceModel:
         """Best ids, best score and the loss of the second best, for words of one length."""
         n, size = len(words), len(words[0])
         chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(n, size)
-        ids, scores = [], []
+        ids, edges = [], []  # by length: ids by (word, start); by start the words that have a piece there, and its scores
+        everyone = np.arange(n)
         for length, h in enumerate(self._hashes(chars, self.longest), 1):
             table, numbers = self.tables[length]
-            i, s = np.full(h.size, -1, np.int32), np.full(h.size, -np.inf)
-            if len(table):
-                h = h.ravel()
-                maybe = np.flatnonzero(self.sieves[length][h >> np.uint64(48)])
+            i, width = np.full(h.size, -1, np.int32), h.shape[1]
+            h = h.ravel()
+            maybe = np.flatnonzero(self.sieves[length][h >> np.uint64(48)])
+            if len(maybe):
                 at = np.minimum(np.searchsorted(table, h[maybe]), len(table) - 1)
                 hit = table[at] == h[maybe]
                 maybe, at = maybe[hit], at[hit]
                 i[maybe] = numbers[at]
-                s[maybe] = self.score_of[numbers[at]]
-            i, s = i.reshape(n, -1), s.reshape(n, -1)
+            ids.append(i.reshape(n, width))
             if length == 1:
-                s = np.where(i < 0, self.unknown, s)
-            ids.append(i)
-            scores.append(s)
+                s = np.full(n * width, self.unknown)
+                if len(maybe):
+                    s[maybe] = self.score_of[i[maybe]]
+                edges.append([(everyone, x) for x in s.reshape(n, width).T])
+                continue
+            row, start = np.divmod(maybe, width)
+            order = np.argsort(start, kind="stable")
+            row, cuts = row[order], np.searchsorted(start[order], np.arange(width + 1))
+            score = self.score_of[i[maybe[order]]]
+            edges.append([(row[x:y], score[x:y]) for x, y in itertools.pairwise(cuts.tolist())])
         forward, back = np.full((size + 1, n), -np.inf), np.zeros((size + 1, n), np.int32)
         forward[0] = 0
         for j in range(1, size + 1):
-            for length in range(min(j, len(scores)), 0, -1):  # of equal scores the longest last piece
-                new = forward[j - length] + scores[length - 1][:, j - length]
-                better = new > forward[j]
-                forward[j][better] = new[better]
-                back[j][better] = length
+            for length in range(min(j, len(edges)), 0, -1):  # of equal scores the longest last piece
+                rows, s = edges[length - 1][j - length]
+                if len(rows):
+                    new = forward[j - length][rows] + s
+                    better = new > forward[j][rows]
+                    rows = rows[better]
+                    forward[j][rows] = new[better]
+                    back[j][rows] = length
         behind = np.full((size + 1, n), -np.inf)
         behind[size] = 0
         for i in range(size - 1, -1, -1):
-            for length in range(1, min(size - i, len(scores)) + 1):
-                np.maximum(behind[i], scores[length - 1][:, i] + behind[i + length], out=behind[i])
+            for length in range(1, min(size - i, len(edges)) + 1):
+                rows, s = edges[length - 1][i]
+                if len(rows):
+                    behind[i][rows] = np.maximum(behind[i][rows], s + behind[i + length][rows])
         # the best path, from its end
         rows, end = np.arange(n), np.full(n, size)
         taken, path = np.zeros((size, n), np.int32), np.zeros((size, n), np.int32)
@@ -154,10 +179,12 @@ class PieceModel:
             rows = rows[start > 0]
         # any other segmentation has an edge off the best path, so the best through such an edge is second
         second = np.full(n, -np.inf)
-        for length, s in enumerate(scores, 1):
-            for i in range(size - length + 1):
-                through = forward[i] + s[:, i] + behind[i + length]
-                np.maximum(second, np.where(taken[i] == length, -np.inf, through), out=second)
+        for length, starts in enumerate(edges, 1):
+            for i, (rows, s) in enumerate(starts):
+                if len(rows):
+                    through = forward[i][rows] + s + behind[i + length][rows]
+                    through[taken[i][rows] == length] = -np.inf
+                    second[rows] = np.maximum(second[rows], through)
         path, codes = np.ascontiguousarray(path.T), []
         plain = (path >= 0).all(axis=1)
         wide = path.astype("<u4")
@@ -173,18 +200,46 @@ class PieceModel:
                 codes.append(np.array(out, "<u4").tobytes())
         return codes, forward[size], forward[size] - second
 
+    def _segment_alone(self, word: str) -> tuple[bytes, float, float]:
+        """What :meth:`_segment` gives, for one long word: time and memory in proportion to its length."""
+        size, get, longest, scores, none = len(word), self.ids.get, self.longest, self.scores, -np.inf
+        forward, back = [0.0] + [none] * size, [0] * (size + 1)
+        for j in range(1, size + 1):
+            for length in range(min(j, longest), 0, -1):  # of equal scores the longest last piece
+                i = get(word[j - length : j])
+                if i is not None or length == 1:
+                    new = forward[j - length] + (scores[i] if i is not None else self.unknown)
+                    if new > forward[j]:
+                        forward[j], back[j] = new, length
+        taken, path, j = [0] * (size + 1), [], size
+        while j:
+            start = j - back[j]
+            taken[start], i = back[j], get(word[start:j])
+            path.append([i] if i is not None else self._expand(word[start:j]))
+            j = start
+        behind, second = [none] * size + [0.0], none
+        for i in range(size - 1, -1, -1):
+            for length in range(1, min(size - i, longest) + 1):
+                k = get(word[i : i + length])
+                if k is not None or length == 1:
+                    s = scores[k] if k is not None else self.unknown
+                    behind[i] = max(behind[i], s + behind[i + length])
+                    if taken[i] != length:
+                        second = max(second, forward[i] + s + behind[i + length])
+        return np.array([i for part in reversed(path) for i in part], "<u4").tobytes(), forward[size], forward[size] - second
+
     def _learn(self, words: set[str]) -> None:
-        if len(self.place) + len(words) > self.room:
-            self._empty()
-            if len(words) > self.room:
-                raise ValueError("more distinct words at a time than the table holds")
-        for size, group in itertools.groupby(sorted(words, key=lambda w: len(_real(w))), lambda w: len(_real(w))):
-            same = list(group)
-            step = BATCH if size <= LONG else max(1, BATCH * LONG // (size * 16))
-            for a in range(0, len(same), step):
-                part = same[a : a + step]
-                codes, best, loss = self._segment([_real(w) for w in part])
-                at = len(self.codes)
+        """Segment words that are new to the table and fit it."""
+        by_size: dict[int, list[str]] = {}
+        for w in words:
+            by_size.setdefault(len(w) + (w[:1] != "\n"), []).append(w)
+        for size, same in by_size.items():
+            for a in range(0, len(same), BATCH):
+                part, at = same[a : a + BATCH], len(self.codes)
+                if size <= LONG:
+                    codes, best, loss = self._segment([_real(w) for w in part])
+                else:
+                    codes, best, loss = zip(*(self._segment_alone(_real(w)) for w in part))
                 self.best[at : at + len(part)], self.loss[at : at + len(part)] = best, loss
                 self.place.update(zip(part, range(at, at + len(part))))
                 self.codes += codes
@@ -243,6 +298,8 @@ class PieceModel:
                 if len(self.found) >= self.room // 8:
                     self.found.clear()
                 found = self.found[words[k]] = self.n_best_word(_real(words[k]), n)
+                if len({b"".join(map(self.bytes.__getitem__, ids)) for _, ids in found}) > 1:
+                    raise ValueError(f"segmentations of {words[k]!r} decode to different bytes")
             more = [(lost + score - found[0][0], {**cut, k: ids}) for lost, cut in top for score, ids in found[1:n]]
             top = sorted(top + more, key=lambda x: -x[0])[:n]
         return top[1:]
@@ -254,13 +311,15 @@ class PieceModel:
             run = words[a : a + self.room]
             places = list(map(self.place.get, run))
             if None in places:
-                new = {w for w, x in zip(run, places) if x is None}
-                if len(self.place) + len(new) > self.room:
-                    self._empty()
-                    new = set(run)
+                for room in (self._forget, self._empty, None):
+                    new = {w for w, x in zip(run, map(self.place.get, run)) if x is None}
+                    if len(self.place) + len(new) <= self.room:
+                        break
+                    room()
                 self._learn(new)
                 places = list(map(self.place.__getitem__, run))
             at = np.array(places, np.int64)
+            self.used[at] += 1
             codes += map(self.codes.__getitem__, places)
             scores.append(self.best[at])
             loss.append(self.loss[at])
@@ -271,14 +330,11 @@ class PieceModel:
         ends = np.cumsum([len(t) for t in texts]) // GROUP_CHARS
         for _, group in itertools.groupby(range(len(texts)), ends.__getitem__):
             split = [self.words(texts[k]) for k in group]
-            new = set()
-            for words in split:
-                if None in (got := list(map(self.place.get, words))):
-                    new.update(w for w, x in zip(words, got) if x is None)
+            new = set().union(*split).difference(self.place)
             if len(self.place) + len(new) > self.room:
-                self._empty()  # and learn by runs of words, if need be
-                new = set().union(*split)
-            if len(new) <= self.room:
+                self._forget()
+                new = set().union(*split).difference(self.place)
+            if len(self.place) + len(new) <= self.room:  # else each text's words are learnt by themselves
                 self._learn(new)
             for words in split:
                 codes, scores, loss = self._looked_up(words)
@@ -312,47 +368,63 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode_documents(docs: DataFrame, path: str, n_best: int = 4, with_ids: bool = True, carried: Sequence[str] = ()) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, n_best: int = 4, with_ids: bool = True, carried: Sequence[str] = (), every: bool = False) -> DataFrame:
     """doc_id, n_ids, ids_crc32, score, scores (the n best), round_trip and, if asked for, ids (best) and source.
 
+    ``every``: ids are made of all n segmentations, not of the best alone: ``crc32s``
+    has a sum for each of them, and with_ids adds ``segmentations``.
     ``carried``: further columns of ``docs`` that stand, as they are, at the end of each row.
 
-    round_trip: decoding the ids gives the whole text.  Null text counts as empty,
+    The model's scores are what its file says.  In a model made by merges they are
+    merge ranks (the first merge 0, the next -1, ...), not log probabilities, and the
+    best sum of them is often a segmentation of more and shorter pieces than the
+    library's own merging gives; both decode to the text.
+
+    round_trip: decoding the ids gives the whole text.  The other segmentations cut some
+    words otherwise; that these decode to the same bytes is compared when they are found.  A word of any length is
+    segmented whole, in time and memory that grow with its length.  Null text counts as empty,
     with no ids, score 0 and one segmentation; rows that repeat an id are encoded
     each; an empty table gives no rows; other columns are not read.
     """
+    kinds = {"doc_id": "long"} | ({"source": "string"} if with_ids else {}) | {"n_ids": "long", "ids_crc32": "long", "score": "double", "scores": "array<double>", "round_trip": "boolean"}
+    kinds |= ({"ids": "array<int>"} if with_ids else {}) | ({"crc32s": "array<long>"} if every else {}) | ({"segmentations": "array<array<int>>"} if every and with_ids else {})
 
     def run(batches):
         import pyarrow as pa
 
         encoder = model(path)
-        schema = pa.schema([("doc_id", pa.int64()), *([("source", pa.string())] if with_ids else []), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("score", pa.float64()), ("scores", pa.list_(pa.float64())), ("round_trip", pa.bool_()), *([("ids", pa.list_(pa.int32()))] if with_ids else [])])
-        whole = None
+        arrow = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()), "array<array<int>>": pa.list_(pa.list_(pa.int32()))}
+
+        def lists(arrays):
+            offsets = pa.array(np.cumsum([0, *map(len, arrays)]).astype(np.int32), pa.int32())
+            return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int32), *arrays]).astype(np.int32), pa.int32()))
+
         for batch in batches:
-            whole = whole or pa.schema([*schema, *(batch.schema.field(c) for c in carried)])
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                counts, sums, best, lists, good, flat = [], [], [], [], [], []
-                for text, found in zip(texts, encoder.encode_all(texts, n_best, ids_of_all=False)):
-                    ids = found[0][1]
-                    counts.append(len(ids))
-                    sums.append(zlib.crc32(ids.tobytes()))
-                    best.append(found[0][0])
-                    lists.append([s for s, _ in found])
-                    good.append(encoder.decode_bytes(ids) == text.encode())
-                    flat.append(ids)
-                columns = [part.column("doc_id"), *([part.column("source")] if with_ids else []), pa.array(counts, pa.int64()), pa.array(sums, pa.int64()), pa.array(best, pa.float64()), pa.array(lists, pa.list_(pa.float64())), pa.array(good, pa.bool_())]
+                found = list(encoder.encode_all(texts, n_best, ids_of_all=every))
+                best = [f[0][1] for f in found]
+                made = {
+                    "n_ids": [len(ids) for ids in best], "ids_crc32": [zlib.crc32(ids.tobytes()) for ids in best], "score": [f[0][0] for f in found], "scores": [[s for s, _ in f] for f in found],
+                    "round_trip": [encoder.decode_bytes(ids) == text.encode() for ids, text in zip(best, texts)],
+                }
+                if every:
+                    made["crc32s"] = [[zlib.crc32(ids.tobytes()) for _, ids in f] for f in found]
+                columns = {k: part.column(k) if k in ("doc_id", "source") else pa.array(made[k], arrow[kind]) if k in made else None for k, kind in kinds.items()}
                 if with_ids:
-                    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.int32())
-                    columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat).astype(np.int32), pa.int32())))
-                yield pa.RecordBatch.from_arrays([*columns, *(part.column(c) for c in carried)], schema=whole)
+                    columns["ids"] = lists(best)
+                if with_ids and every:
+                    offsets = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32), pa.int32())
+                    columns["segmentations"] = pa.ListArray.from_arrays(offsets, lists([ids for f in found for _, ids in f]))
+                yield pa.RecordBatch.from_arrays([*columns.values(), *(part.column(c) for c in carried)], [*columns, *carried])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *([F.col("source").cast("string").alias("source")] if with_ids else []), "text", *carried)
-    return rows.mapInArrow(run, "doc_id long, " + ("source string, " if with_ids else "") + "n_ids long, ids_crc32 long, score double, scores array<double>, round_trip boolean" + (", ids array<int>" if with_ids else "") + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried))
+    return rows.mapInArrow(run, ", ".join([f"{c} {kind}" for c, kind in kinds.items()] + [f"{c} {docs.schema[c].dataType.simpleString()}" for c in carried]))
 
 
 def op6_sentencepiece(spark, sf_dir: str, path: str | None = None) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = encode_documents(docs, path or default_model(), with_ids=False)
-    return out.select("doc_id", "n_ids", "ids_crc32", "score", F.try_element_at("scores", F.lit(2)).alias("second_score"), F.element_at("scores", -1).alias("last_score"), F.size("scores").cast("int").alias("n_segmentations"), "round_trip")
+    out = encode_documents(docs, path or default_model(), with_ids=False, every=True)
+    n_best_crc32 = F.crc32(F.array_join("crc32s", ",").cast("binary"))
+    return out.select("doc_id", "n_ids", "ids_crc32", "score", F.try_element_at("scores", F.lit(2)).alias("second_score"), F.element_at("scores", -1).alias("last_score"), F.size("scores").cast("int").alias("n_segmentations"), n_best_crc32.alias("n_best_crc32"), "round_trip")
