@@ -320,6 +320,70 @@ def test_class_model_learns_what_follows_what(spark):
     assert held and sum(r["score"] - r["base_score"] for r in held) / sum(r["n_tokens"] for r in held) > 0.2
 
 
+def plain_class_scores(rows, classes, rounds, min_share):
+    """Score of each row, as the documentation of the model says; and P(any word | class before) for each class."""
+    x = class_lm.Exchange._x
+    docs = [(zlib.crc32(str(d).encode()) % 10 != 0, [*t.encode().lower().split(), None]) for d, t in rows]
+    count = collections.Counter(w for train, words in docs if train for w in words)
+    total, n_classes, end = sum(count.values()), classes + class_lm.SHAPES + 1, classes + class_lm.SHAPES
+    core = sorted((w for w in count if w is not None and count[w] >= max(2, math.ceil(min_share * total))), key=lambda w: (-count[w], np.uint64(class_lm.word_hash(w)).astype(np.int64)))
+    share = np.cumsum([count[w] for w in core])
+    kind = {w: classes + class_lm.shape(w) for _, words in docs for w in words if w is not None} | {None: end}
+    kind |= {w: min(classes - 1, int(share[i] / share[-1] * classes)) for i, w in enumerate(core)}
+
+    def counted():
+        n, before, after = np.zeros((n_classes, n_classes)), collections.defaultdict(lambda: np.zeros(n_classes)), collections.defaultdict(lambda: np.zeros(n_classes))
+        for train, words in docs:
+            for a, b, c in zip([None, *words], words, [*words[1:], None]):
+                if train:
+                    n[kind[a], kind[b]] += 1
+                    before[b][kind[a]] += 1
+                    after[b][kind[c]] += b is not None
+        return n, before, after
+
+    for turn in range(rounds):
+        n, before, after = counted()
+        step = class_lm.Exchange(n)
+        kind |= {w: step.best(before[w], after[w], kind[w], classes) for i, w in enumerate(core) if turn == 0 or i % 2 == turn % 2}
+    n, before, after = counted()
+    column, row, moved = n.sum(axis=0)[:classes], n.sum(axis=1)[:classes], {}
+    for w in set(count) - set(core) - {None}:
+        if count[w] > 1:
+            gain = (x(n[:, :classes] + before[w][:, None]) - x(n[:, :classes])).sum(axis=0) + (x(n[:classes] + after[w]) - x(n[:classes])).sum(axis=1)
+            gain -= x(column + before[w].sum()) - x(column) + x(row + after[w].sum()) - x(row)
+            moved[w] = int(np.argmax(gain))
+    kind |= moved
+    n, _, _ = counted()
+    size, kinds = np.zeros(n_classes), np.zeros(n_classes)
+    for w, c in count.items():
+        size[kind[w]] += c
+        kinds[kind[w]] += 1
+    room = np.array([0] * classes + [1] * class_lm.SHAPES + [0])
+    follow = (n + 0.1) / (n.sum(axis=1, keepdims=True) + 0.1 * n_classes)
+
+    def emits(w):
+        return 1 if w is None else (count[w] + 0.1) / (size[kind[w]] + 0.1 * (kinds[kind[w]] + room[kind[w]]))
+
+    within = room * 0.1 / np.maximum(0.1, size + 0.1 * (kinds + room))  # of a class: words not seen, then those seen
+    for w in count:
+        within[kind[w]] += emits(w)
+    empty = kinds + room == 0  # an exchanged class that lost all its words
+    scores = [sum(math.log10(follow[kind[a], kind[b]] * emits(b)) for a, b in zip([None, *words], words)) for _, words in docs]
+    return scores, follow @ np.where(empty, 1, within), len(moved)
+
+
+def test_class_scores_equal_a_plain_model(spark):
+    rng = np.random.default_rng(9)
+    words = [f"{c}{i}{p}" for i in range(60) for c in "kv" for p in ("", ".")]
+    rows = [(i, " ".join(words[int(k)] for k in rng.zipf(1.3, int(rng.integers(1, 60))) % len(words))) for i in range(90)]
+    want, every, moved = plain_class_scores(rows, 5, 3, 0.02)
+    assert moved > 20 and np.abs(every - 1).max() < 1e-9
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    got = class_lm.score_documents(df, classes=5, rounds=3, min_share=0.02, chunk_tokens=150).collect()
+    check_base(rows, got)
+    assert [r["score"] for r in sorted(got, key=lambda r: r["doc_id"])] == pytest.approx(want, rel=1e-9)
+
+
 # ---- 9
 
 
