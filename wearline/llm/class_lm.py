@@ -259,7 +259,7 @@ def exchanged(chunks: DataFrame, core: Core, classes: int, rounds: int) -> tuple
             for batch in batches:
                 for held, starts, hashes, shapes, local in _rows(batch, "held", "starts", "hashes", "shapes", "local"):
                     code = core.ranks(np.frombuffer(hashes, np.int64))
-                    code = np.where(code == -2, size + np.frombuffer(shapes, np.uint8), np.where(code == -1, size + SHAPES, code))
+                    code = np.where(code == -2, size + np.frombuffer(shapes, np.uint8).astype(np.int64), np.where(code == -1, size + SHAPES, code))
                     flat = code[np.frombuffer(local, np.uint32)]
                     train = _training(held, starts, len(flat))
                     previous, following = _contexts(current[flat], end)

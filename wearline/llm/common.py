@@ -50,10 +50,16 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether each u has one edge and no v is a u of another."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
     """(node, root) for every node with an edge to another; root: the least node.
 
-    Alternating large-star and small-star rounds.  Each round is two partial
+    Alternating large-star and small-star rounds, until all edges are stars.  Each round is two partial
     aggregations, each joined back to the edges; both keep the number of edges
     linear, and a hot node is split by adaptive skew joins.  A round's edges are
     written to the shared folder, so lineage stays one round long.
@@ -61,9 +67,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     reads one stored table, which :func:`dropped` takes away.
     """
     x, y = F.col(a), F.col(b)
-    e = stored(edges.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(), "edges")
-    mark = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-    for _ in range(max_rounds if mark[0] else 0):
+    e, rounds = stored(edges.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(), "edges"), 0
+    while not _all_stars(e):
+        if (rounds := rounds + 1) > max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -71,12 +78,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         dropped(e)
-        e, last, mark = new, mark, new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if mark == last:
-            break
-    else:
-        if mark[0]:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        e = new
     out = e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
     out._wearline_path = e._wearline_path
     return out

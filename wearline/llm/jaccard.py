@@ -4,8 +4,9 @@
     with equal sets are one class from here on, stood for by the smallest id.
 2.  Every class has ``TREES`` labels of ``DEPTH`` min-hashes each.  A tree is a
     prefix trie: its labels in sorted order, with the length of the prefix that each
-    shares with the label before it.  Classes below one node are a run of labels,
-    so n of them give n - 1 links of the trie however many there are.
+    shares with the label before it.  Classes below one node are a run of labels;
+    each links to the first of the longest run that it joins, so n classes give n - 1
+    links of the trie however many there are.
 3.  The search begins with whole labels, the deepest nodes.  Classes that meet are
     verified by their whole shingle sets.  Then prefixes are shortened, and only pairs
     that meet newly are verified.
@@ -22,8 +23,8 @@
 Groups of meeting classes that fit a task are verified whole, so pairs within them
 never come up again.  Larger groups are written once, in trie order, as blocks of
 bounded size; only pairs of blocks that share a node are compared, by tasks that read
-the two files.  What leaves a task is a class's number of links, a spanning forest of
-the links and a histogram, not the pairs.  No bucket, group or partner list has a cap.
+the two files.  What leaves a task is a class's number of links, the first class that it
+is connected with and a histogram, not the pairs.  No bucket, group or partner list has a cap.
 """
 
 from __future__ import annotations
@@ -122,10 +123,10 @@ def signed(docs: DataFrame, trees: int = TREES, depth: int = DEPTH) -> DataFrame
 
 
 class Forest:
-    """Links among the classes of one task, as a union-find over their places."""
+    """Classes of one task that links connect: a union-find over their places."""
 
     def __init__(self, n: int):
-        self.up, self.edges = list(range(n)), []
+        self.up = list(range(n))
 
     def find(self, a: int) -> int:
         while self.up[a] != a:
@@ -137,7 +138,6 @@ class Forest:
         x, y = self.find(a), self.find(b)
         if x != y:
             self.up[max(x, y)] = min(x, y)
-            self.edges.append((a, b))
 
 
 class Verifier:
@@ -191,9 +191,9 @@ class Verifier:
                 self.forest.link(a, b)
 
     def rows(self, keys: list[bytes]) -> list[tuple]:
-        """(set_key, links, near, bin, pairs): numbers of links, a spanning forest, links by band and bin."""
+        """(set_key, links, near, bin, pairs): numbers of links, the first of all that links connect, links by band and bin."""
         out = [(keys[k], int(self.links[k]), None, None, None) for k in np.flatnonzero(self.links)]
-        out += [(keys[a], None, keys[b], None, None) for a, b in self.forest.edges]
+        out += [(keys[root], None, keys[k], None, None) for k in range(len(keys)) if (root := self.forest.find(k)) != k]
         return out + [(None, None, None, int(k), int(self.found.ravel()[k])) for k in np.flatnonzero(self.found)]
 
 
@@ -219,9 +219,9 @@ def node_hashes(labels: np.ndarray, level: int) -> np.ndarray:
 
 
 def trie_links(classes: DataFrame, trees: int, depth: int, least: int) -> DataFrame:
-    """(a, b, depth): neighbours in the sorted labels of a tree that share ``depth`` >= ``least`` values.
+    """(a, b, depth): b shares ``depth`` >= ``least`` values with the label before it in a tree, and a is the first of the run that does.
 
-    Range partitions cut a hot node anywhere; the first and last label of each
+    Links of a depth or more connect what stands below one node of that depth.  Range partitions cut a hot node anywhere; the first and last label of each
     partition, two rows a task, meet on the driver.
     """
     labels = classes.select("set_key", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring("labels", t * (2 * depth) + 1, 2 * depth))).alias("tree", "label"))
@@ -233,7 +233,7 @@ def trie_links(classes: DataFrame, trees: int, depth: int, least: int) -> DataFr
         import pyarrow as pa
         from pyspark import TaskContext
 
-        names, last, part = ["a", "b", "depth", "part", "tree", "label"], None, TaskContext.get().partitionId()
+        names, last, heads, part = ["a", "b", "depth", "part", "tree", "label"], None, [b""] * (depth + 1), TaskContext.get().partitionId()
         kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
 
         def ends(row):
@@ -246,14 +246,20 @@ def trie_links(classes: DataFrame, trees: int, depth: int, least: int) -> DataFr
             raw = batch.column("label").to_pylist()
             if last is None:
                 yield ends((keys[0], int(tree[0]), raw[0]))
+                heads = [keys[0]] * (depth + 1)
             else:
                 keys, tree, raw = [last[0], *keys], np.append(np.int32(last[1]), tree), [last[2], *raw]
             last = (keys[-1], int(tree[-1]), raw[-1])
             label = np.frombuffer(b"".join(raw), np.uint16).reshape(len(raw), depth)
             both = np.where(tree[1:] == tree[:-1], shared(label[1:], label[:-1]), 0)
-            at = np.flatnonzero(both >= least)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in at], kinds[0]), pa.array([keys[i + 1] for i in at], kinds[1]), pa.array(both[at].astype(np.int32)), *(pa.nulls(len(at), k) for k in kinds[3:])], names)
+            found, place = [], np.arange(1, len(keys))
+            for d in range(least, depth + 1):  # the first label of the run of depth d in which each stands; 0: the run goes on from before
+                first = np.maximum.accumulate(np.where(both < d, place, 0)) if len(place) else place
+                found += [(i, keys[first[i - 1]] if first[i - 1] else heads[d]) for i in place[both == d].tolist()]
+                if len(place) and first[-1]:
+                    heads[d] = keys[first[-1]]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([a for _, a in found], kinds[0]), pa.array([keys[i] for i, _ in found], kinds[1]), pa.array(both[[i - 1 for i, _ in found]].astype(np.int32)), *(pa.nulls(len(found), k) for k in kinds[3:])], names)
         if last is not None:
             yield ends(last)
 
@@ -324,7 +330,10 @@ def _write_blocks(placed: DataFrame, folder: str, trees: int, depth: int, level:
         if held:
             yield from block()
 
-    ordered = placed.select("root", "set_key", "old", "whole", "copies", "labels", "text").repartitionByRange("root", "labels", "set_key").sortWithinPartitions("root", "labels", "set_key")
+    # some blocks a task, since a block ends with its task
+    count, total = placed.agg(F.count("*"), F.sum("n")).first()
+    tasks = max(1, count // (4 * most_classes), total // (4 * most_shingles))
+    ordered = placed.select("root", "set_key", "old", "whole", "copies", "labels", "text").repartitionByRange("root", "labels", "set_key").coalesce(tasks).sortWithinPartitions("root", "labels", "set_key")
     return stored(ordered.mapInArrow(write, "root binary, name string, tree int, node long"), "blocks")
 
 
