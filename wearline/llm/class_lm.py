@@ -42,6 +42,8 @@ CLASSES, ROUNDS, SMOOTHING = 64, 4, 0.1
 SHAPES = 32
 #: Core words that one row of summed neighbour counts covers, and tasks whose rows one first sum takes.
 WORD_BLOCK, TASKS_SUMMED = 512, 64
+#: Words outside the core that one step exchanges: times all neighbour classes and all classes, in doubles.
+WORDS_AT_ONCE = 256
 #: A word's neighbours as they travel: class (after the word: plus the number of classes) and count.
 _PAIR = np.dtype([("k", "u1"), ("n", "<u4")])
 #: The end token's hash, which word_hash gives to no word.
@@ -384,8 +386,8 @@ def other_words(chunks: DataFrame, core: Core, bigrams: np.ndarray, classes: int
         kind = classes + shape[first].astype(np.int64)
         pairs = np.frombuffer(b"".join(near), _PAIR)
         owner = np.repeat(group, [len(x) // _PAIR.itemsize for x in near])
-        for a in range(0, len(c), 4096):
-            b = min(len(c), a + 4096)
+        for a in range(0, len(c), WORDS_AT_ONCE):
+            b = min(len(c), a + WORDS_AT_ONCE)
             x, y = np.searchsorted(owner, (a, b))
             counts = np.bincount((owner[x:y] - a) * (2 * n_classes) + pairs["k"][x:y], weights=pairs["n"][x:y], minlength=(b - a) * 2 * n_classes).reshape(b - a, -1)
             often = np.flatnonzero(c[a:b] > 1)
