@@ -43,7 +43,9 @@ SHAPES = 32
 #: Core words that one row of summed neighbour counts covers, and tasks whose rows one first sum takes.
 WORD_BLOCK, TASKS_SUMMED = 512, 64
 #: Words outside the core that one step exchanges: times all neighbour classes and all classes, in doubles.
-WORDS_AT_ONCE = 256
+WORDS_AT_ONCE = 64
+#: A word's place in one number, for cheap sorts: the task, its chunk, and the word among the chunk's.
+CHUNK_BITS, WORD_BITS = 12, 31
 #: A word's neighbours as they travel: class (after the word: plus the number of classes) and count.
 _PAIR = np.dtype([("k", "u1"), ("n", "<u4")])
 #: The end token's hash, which word_hash gives to no word.
@@ -86,7 +88,7 @@ def chunked(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
             keys = list(table)
             hashes = np.array([END] + [word_hash(w) for w in keys[1:]], np.uint64)
             shapes = np.array([0] + [shape(w) for w in keys[1:]], np.uint8)
-            data = [[(task << 32) + part], [np.array(ids, np.int64).tobytes()], [np.array(held, np.uint8).tobytes()], [(np.cumsum(lengths) - lengths).astype(np.uint32).tobytes()], [hashes.tobytes()], [shapes.tobytes()], [counts.tobytes()], [flat.astype(np.uint32).tobytes()]]
+            data = [[(task << CHUNK_BITS) + part], [np.array(ids, np.int64).tobytes()], [np.array(held, np.uint8).tobytes()], [(np.cumsum(lengths) - lengths).astype(np.uint32).tobytes()], [hashes.tobytes()], [shapes.tobytes()], [counts.tobytes()], [flat.astype(np.uint32).tobytes()]]
             return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(data, schema)], schema=schema)
 
         def fresh():
@@ -105,7 +107,7 @@ def chunked(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
                 held.append(3 if doc is None else int(zlib.crc32(str(doc).encode()) % 10 == 0))
                 local.append(np.append(numbers, np.int32(0)))
                 tokens += len(words) + 1
-                if tokens >= chunk_tokens:
+                if tokens >= chunk_tokens << (part >> CHUNK_BITS - 3):  # a task of very many chunks has larger ones
                     yield row()
                     part += 1
                     table, ids, held, local, tokens = fresh()
@@ -194,7 +196,9 @@ def _training(held: bytes, starts: bytes, tokens: int) -> np.ndarray:
 
 
 def _rows(batch, *names):
-    return zip(*(batch.column(c).to_pylist() for c in names))
+    """The rows of a batch, of which only one at a time is copied."""
+    columns = [batch.column(c) for c in names]
+    return (tuple(c[i].as_py() for c in columns) for i in range(batch.num_rows))
 
 
 def core_words(chunks: DataFrame, min_share: float) -> tuple[int, int, np.ndarray, np.ndarray]:
@@ -345,13 +349,13 @@ def _square(cells: DataFrame, n_classes: int) -> np.ndarray:
 
 
 def other_words(chunks: DataFrame, core: Core, bigrams: np.ndarray, classes: int) -> DataFrame:
-    """(chunk, at, c, class, first): training count and class of each chunk's distinct words outside the core; ``first`` marks one row a word."""
+    """(place, c, class, first): training count and class of each chunk's distinct words outside the core; ``first`` marks one row a word."""
     n_classes, end = classes + SHAPES + 1, classes + SHAPES
 
     def seen(batches):
         import pyarrow as pa
 
-        names = ["chunk", "at", "hash", "shape", "n", "near"]
+        names = ["place", "hash", "shape", "n", "near"]
         for batch in batches:
             for chunk, held, starts, hashes, shapes, counts, local in _rows(batch, "chunk", "held", "starts", "hashes", "shapes", "counts", "local"):
                 h, kinds = np.frombuffer(hashes, np.int64), classes + np.frombuffer(shapes, np.uint8).astype(np.int64)
@@ -367,11 +371,11 @@ def other_words(chunks: DataFrame, core: Core, bigrams: np.ndarray, classes: int
                 pairs["k"], pairs["n"] = key % (2 * n_classes), times
                 at = np.flatnonzero(rank == -2)
                 cut = np.searchsorted(key, np.append(at, len(h)) * (2 * n_classes))
-                n, s = np.frombuffer(counts, np.uint32)[at].astype(np.int64), np.frombuffer(shapes, np.uint8)[at].astype(np.int32)
+                n, s, place = np.frombuffer(counts, np.uint32)[at].astype(np.int64), np.frombuffer(shapes, np.uint8)[at].astype(np.int32), (chunk << WORD_BITS) + at
                 for a in range(0, len(at), 50_000):
                     b = min(len(at), a + 50_000)
                     near = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(((cut[a : b + 1] - cut[a]) * _PAIR.itemsize).astype(np.int32).tobytes()), pa.py_buffer(pairs[cut[a] : cut[b]].tobytes())])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, chunk)), pa.array(at[a:b].astype(np.int32)), pa.array(h[at[a:b]]), pa.array(s[a:b]), pa.array(n[a:b]), near], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(place[a:b]), pa.array(h[at[a:b]]), pa.array(s[a:b]), pa.array(n[a:b]), near], names)
 
     step = Exchange(bigrams)
 
@@ -379,7 +383,7 @@ def other_words(chunks: DataFrame, core: Core, bigrams: np.ndarray, classes: int
         """Rows of whole words, in order of hash -> their counts and classes."""
         import pyarrow as pa
 
-        chunk, at, h, shape, n, near = held
+        place, h, shape, n, near = held
         first = np.append(True, h[1:] != h[:-1])
         group = np.cumsum(first) - 1
         c = np.bincount(group, weights=n).astype(np.int64)
@@ -392,26 +396,26 @@ def other_words(chunks: DataFrame, core: Core, bigrams: np.ndarray, classes: int
             counts = np.bincount((owner[x:y] - a) * (2 * n_classes) + pairs["k"][x:y], weights=pairs["n"][x:y], minlength=(b - a) * 2 * n_classes).reshape(b - a, -1)
             often = np.flatnonzero(c[a:b] > 1)
             kind[a + often] = step.join(counts[often], classes)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (chunk, at, c[group], kind[group].astype(np.int32), first)], ["chunk", "at", "c", "class", "first"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (place, c[group], kind[group].astype(np.int32), first)], ["place", "c", "class", "first"])
 
     def decide(batches):
         held = None
         for batch in batches:
-            new = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("chunk", "at", "hash", "shape", "n")), np.array(batch.column("near").to_pylist(), object)]
+            new = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("place", "hash", "shape", "n")), np.array(batch.column("near").to_pylist(), object)]
             held = [np.concatenate(x) for x in zip(held, new)] if held else new
-            cut = int(np.searchsorted(held[2], held[2][-1])) if len(held[2]) else 0  # the last hash may go on
+            cut = int(np.searchsorted(held[1], held[1][-1])) if len(held[1]) else 0  # the last hash may go on
             if cut:
                 yield decided([x[:cut] for x in held])
                 held = [x[cut:] for x in held]
-        if held and len(held[2]):
+        if held and len(held[1]):
             yield decided(held)
 
-    rows = chunks.mapInArrow(seen, "chunk long, at int, hash long, shape int, n long, near binary")
-    return stored(rows.repartition("hash").sortWithinPartitions("hash").mapInArrow(decide, "chunk long, at int, c long, class int, first boolean"), "words")
+    rows = chunks.mapInArrow(seen, "place long, hash long, shape int, n long, near binary")
+    return stored(rows.repartition("hash").sortWithinPartitions("hash").mapInArrow(decide, "place long, c long, class int, first boolean"), "words")
 
 
 def _deal(words: DataFrame, folder: str) -> None:
-    """Write counts and classes of a chunk's words outside the core, in order of ``at``, as one file a chunk."""
+    """Write counts and classes of a chunk's words outside the core, in their order, as one file a chunk."""
 
     def write(batches):
         chunk, parts = None, []
@@ -421,7 +425,8 @@ def _deal(words: DataFrame, folder: str) -> None:
             write_atomically(f"{folder}/{chunk}", lambda out: out.write(c.astype("<i8").tobytes() + kind.astype(np.uint8).tobytes()))
 
         for batch in batches:
-            keys, c, kind = (batch.column(x).to_numpy() for x in ("chunk", "c", "class"))
+            keys, c, kind = (batch.column(x).to_numpy() for x in ("place", "c", "class"))
+            keys = keys >> WORD_BITS
             for part in np.split(np.arange(len(keys)), np.flatnonzero(keys[1:] != keys[:-1]) + 1):
                 if not len(part):
                     continue
@@ -434,7 +439,7 @@ def _deal(words: DataFrame, folder: str) -> None:
             close()
         yield from ()
 
-    words.select("chunk", "at", "c", "class").repartition("chunk").sortWithinPartitions("chunk", "at").mapInArrow(write, "chunk long").write.format("noop").mode("overwrite").save()
+    words.select("place", "c", "class").repartition(F.shiftright("place", WORD_BITS)).sortWithinPartitions("place").mapInArrow(write, "chunk long").write.format("noop").mode("overwrite").save()
 
 
 def score_documents(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, min_share: float = MIN_SHARE, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
