@@ -1,8 +1,10 @@
 """The operators on small hand-computed histories."""
 
 import math
+import os
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,26 +250,13 @@ def test_boosting(spark):
     assert flat.init == 20 and flat.curve == [] and set(column(flat.predict(table(spark, [1], [1])), "pred", "a")) == {20.0}
     rows = table(spark, range(50), [0] * 25 + [10] * 25)
     params = tree.BoostParams(6, 0.3, tree.TreeParams(2, 1))
-    one, two = (tree.fit_boosted(rows, ["a"], "y", params, cells) for cells in (10**6, 0))
+    one, two = (tree.fit_boosted(rows, ["a"], "y", params) for _ in range(2))
     assert [t.table() for t in one.trees][0][0][2:4] == [t.table() for t in two.trees][0][0][2:4] == (0, 24.5)
     assert one.curve == pytest.approx(two.curve) and len(one.curve) == 6 and one.curve == sorted(one.curve, reverse=True) and one.curve[-1] < 1
     assert column(one.predict(rows, at_once=2), "pred", "a")[0] == pytest.approx(5 - 5 * (1 - 0.7**6))
     assert one.table(spark).count() >= 12 and one.curve_table(spark).count() == 6
 
 
-def test_boosting_in_memory_equals_the_distributed_one(spark):
-    import random
-
-    rng = random.Random(8)
-    data = [(rng.randrange(30) / 7, rng.random(), rng.random()) for _ in range(200)]
-    df = spark.createDataFrame(data, "a double, b double, y double")
-    params = tree.BoostParams(2, 0.5, tree.TreeParams(2, 15))
-    near, far = (tree.fit_boosted(df, ["a", "b"], "y", params, cells) for cells in (10**6, 0))
-    for s, t in zip(near.trees, far.trees):
-        for x, y in zip(s.table(), t.table()):
-            assert x[1:3] == y[1:3] and x[3:] == pytest.approx(y[3:])
-
-
 def test_baselines_and_recurrent(spark):
     rows = table(spark, range(60), [2 * x + 1 for x in range(60)])
     out = baselines.linear_predict(rows, rows, ["a"], "y")
@@ -334,3 +323,92 @@ def test_normalised_prediction_names(spark):
     out = sinks.predictions(pairs(spark, (3, 5)), {"x": "pred"}).first()
     assert tuple(out) == (0, 5.0, 3.0, -2.0)
     assert replace(FILES).run == ("subset", "split", "unit")
+
+
+# ---- packed trees and splits of files
+
+
+def plain_tree(x, y, depth, least):
+    """(value, feature, threshold, left, right) by trying every split."""
+    n, best = len(y), None
+    if depth and n >= 2 * least:
+        for f in range(x.shape[1]):
+            values = np.unique(x[:, f])
+            for a, b in zip(values, values[1:]):
+                left = x[:, f] <= (a + b) / 2
+                k = left.sum()
+                if least <= k <= n - least:
+                    gain = y[left].sum() ** 2 / k + y[~left].sum() ** 2 / (n - k) - y.sum() ** 2 / n
+                    if best is None or gain > best[0] + 1e-9:
+                        best = (gain, f, (a + b) / 2, left)
+    if best is None or best[0] <= 1e-12:
+        return (y.mean(), None, None, None, None)
+    _, f, t, left = best
+    return (y.mean(), f, t, plain_tree(x[left], y[left], depth - 1, least), plain_tree(x[~left], y[~left], depth - 1, least))
+
+
+def as_plain(node):
+    return (node.value, node.feature, node.threshold, *(None if c is None else as_plain(c) for c in (node.left, node.right)))
+
+
+def alike(a, b):
+    if a is None or b is None:
+        return a is b
+    return a[0] == pytest.approx(b[0]) and a[1] == b[1] and (a[2] == pytest.approx(b[2]) if a[2] is not None else b[2] is None) and alike(a[3], b[3]) and alike(a[4], b[4])
+
+
+@pytest.mark.parametrize("range_rows", [4_000_000, 40])
+def test_packed_trees_equal_plain_ones(spark, monkeypatch, range_rows):
+    from wearline.operators import tree
+
+    monkeypatch.setattr(tree, "RANGE_ROWS", range_rows)
+    monkeypatch.setattr(tree, "BLOCK_ROWS", 17)
+    monkeypatch.setattr(tree, "TREES_AT_ONCE", 2)
+    rng = np.random.default_rng(6)
+    x = np.column_stack([rng.integers(0, 9, 200), rng.normal(size=200).round(2), np.ones(200)])
+    y = x[:, 0] * (x[:, 1] > 0) + rng.normal(size=200) * 0.1
+    df = spark.createDataFrame([tuple(map(float, r)) for r in np.column_stack([x, y])], "a double, b double, c double, y double")
+    assert alike(as_plain(tree.fit_tree(df, ["a", "b", "c"], "y", tree.TreeParams(3, 8))), plain_tree(x, y, 3, 8))
+    model, rest = tree.fit_boosted(df, ["a", "b", "c"], "y", tree.BoostParams(5, 0.5, tree.TreeParams(2, 8))), y - y.mean()
+    for fitted, error in zip(model.trees, model.curve, strict=True):
+        want = plain_tree(x, rest, 2, 8)
+        assert alike(as_plain(fitted), want)
+        rest = rest - 0.5 * np.array([fitted.predict(row) for row in x])
+        assert error == pytest.approx(np.sqrt(np.mean(rest**2)))
+
+
+def test_packed_trees_refuse_what_has_no_order(spark):
+    from wearline.operators import tree
+
+    for rows in ([(1.0, None)], [(float("nan"), 1.0)]):
+        with pytest.raises(Exception, match="null or nan"):
+            tree.fit_tree(spark.createDataFrame(rows, "a double, y double"), ["a"], "y")
+    with pytest.raises(ValueError, match="zero rows"):
+        tree.fit_boosted(spark.createDataFrame([], "a double, y double"), ["a"], "y")
+
+
+def test_long_whole_numbers_and_a_bad_end(spark):
+    import time
+
+    df = spark.createDataFrame([(f"p{k}", 1, " ".join(["1234567890"] * 25) + f" 12345{end}") for k, end in enumerate(["", "x", "..", "d"])] + [("p9", 1, None)], "path string, line_no long, line string")
+    began = time.time()
+    got = {r["path"]: r["reason"] for r in text.parsed(df).collect()}
+    assert time.time() - began < 20 and got["p0"] is None and got["p1"] == "could not parse sensor (12345x) as a number"
+    assert all(got[p] for p in ("p2", "p3")) and got["p9"] == "expected 26 fields, found 0"
+
+
+def test_lines_keep_their_numbers_across_splits(spark, tmp_path):
+    want = {}
+    for name in ("a.txt", "b.txt"):
+        lines = [f"{name} line {i} " + "x" * (i % 50) if i % 7 else "  " for i in range(1, 4000)]
+        (tmp_path / name).write_bytes("\r\n".join(lines).encode() if name == "a.txt" else "\n".join(lines).encode() + b"\n\n")
+        want |= {(name, i): line for i, line in enumerate(lines, 1) if line.strip()}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        rows = text.read_lines(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 5
+        got = rows.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {(os.path.basename(r["path"]), r["line_no"]): r["line"] for r in got} == want and len(got) == len(want)

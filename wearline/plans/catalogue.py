@@ -84,9 +84,9 @@ def label_monotonicity(spark: SparkSession, d: str) -> DataFrame:
     return labels.label_breaks(labels.label_train(adapters.training(_l(spark, d)), L, CAP), L).agg(F.count("*").alias("breaks"))
 
 
-@query(f"WITH {L_SQL} SELECT 'lineitem' AS subset, count(DISTINCT unit)::BIGINT AS units, 100::BIGINT AS expected FROM l HAVING count(DISTINCT unit) <> 100")
+@query(f"WITH {L_SQL} SELECT 'lineitem' AS subset, count(DISTINCT unit)::BIGINT AS units, 99::BIGINT AS expected FROM l HAVING count(DISTINCT unit) <> 99")
 def unit_count_check(spark: SparkSession, d: str) -> DataFrame:
-    expected = spark.createDataFrame([("lineitem", 100)], "subset string, expected long")
+    expected = spark.createDataFrame([("lineitem", 99)], "subset string, expected long")
     return labels.unit_count_check(_l(spark, d).withColumn("subset", F.lit("lineitem")), expected, Layout(run=("subset", "unit"))).select("subset", "units", "expected")
 
 
@@ -353,15 +353,47 @@ def _prepared(spark, d, regimes=None) -> workflows.Prepared:
 _SMALL = tree.BoostParams(3, 0.3, tree.TreeParams(2, 20))
 
 
+def _boosted_sql(trees: int, depth: int, rate: float, least: int) -> str:
+    """CTEs over the rows ``x`` (f0, f1, y): after tree t the rests are x{t}, its training error curve{t}."""
+    parts = ["x0 AS (SELECT *, y - avg(y) OVER () AS rest FROM x)"]
+    for t in range(trees):
+        parts.append(f"s{t}_0 AS (SELECT *, 1 AS node FROM x{t})")
+        for k in range(depth):
+            s = f"s{t}_{k}"
+            parts.append(f"""v{t}_{k} AS (SELECT node, 0 AS feature, f0 AS value, count(*) AS n, sum(rest) AS s FROM {s} WHERE node >= {2**k} GROUP BY ALL UNION ALL SELECT node, 1, f1, count(*), sum(rest) FROM {s} WHERE node >= {2**k} GROUP BY ALL),
+c{t}_{k} AS (SELECT node, feature, value, lead(value) OVER w AS nxt, sum(n) OVER w AS ln, sum(s) OVER w AS ls, sum(n) OVER p AS n, sum(s) OVER p AS s FROM v{t}_{k} WINDOW w AS (PARTITION BY node, feature ORDER BY value), p AS (PARTITION BY node, feature)),
+g{t}_{k} AS (SELECT node, feature, (value + nxt) / 2 AS threshold, ls * ls / ln + (s - ls) * (s - ls) / (n - ln) - s * s / n AS gain FROM c{t}_{k} WHERE nxt IS NOT NULL AND ln >= {least} AND n - ln >= {least}),
+b{t}_{k} AS (SELECT * FROM g{t}_{k} WHERE gain > 1e-12 QUALIFY row_number() OVER (PARTITION BY node ORDER BY round(gain, 6) DESC, feature, threshold) = 1),
+s{t}_{k + 1} AS (SELECT r.* EXCLUDE (node), CASE WHEN b.node IS NULL THEN r.node WHEN CASE b.feature WHEN 0 THEN f0 ELSE f1 END <= b.threshold THEN 2 * r.node ELSE 2 * r.node + 1 END AS node FROM {s} r LEFT JOIN b{t}_{k} b ON b.node = r.node)""")
+        parts.append(f"x{t + 1} AS (SELECT * EXCLUDE (rest, node), rest - {rate} * avg(rest) OVER (PARTITION BY node) AS rest FROM s{t}_{depth})")
+    return ", ".join(parts)
+
+
+_SMALL = tree.BoostParams(3, 0.3, tree.TreeParams(2, 20))
+_BOOSTED = f"WITH {E_SQL}, x AS (SELECT unit, cycle, sensor_1 AS f0, sensor_2 AS f1, sensor_1 + 2 * sensor_2 + unit % 7 AS y FROM e), {_boosted_sql(3, 2, 0.3, 20)}"
+
+
+@query(f"{_BOOSTED} SELECT unit, cycle, {r6('y - rest', 'pred')} FROM x3")
+def boosted_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = _split_rows(spark, d)
+    return rounded(tree.fit_boosted(rows, ["f0", "f1"], "y", _SMALL).predict(rows).select("unit", "cycle", "pred"))
+
+
+@query(_BOOSTED + " " + " UNION ALL ".join(f"SELECT {t}::INT AS tree_number, {r6('sqrt(avg(rest * rest))', 'training_rmse')} FROM x{t}" for t in (1, 2, 3)))
+def boosted_curve(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(tree.fit_boosted(_split_rows(spark, d), ["f0", "f1"], "y", _SMALL).curve_table(spark))
+
+
 @query()
 def gbm_predict(spark: SparkSession, d: str) -> DataFrame:
-    return workflows.boosted_predictions(_prepared(spark, d), WINDOW, _SMALL)[0]
+    """With the defaults: 100 trees of depth 3 at rate 0.1."""
+    return workflows.boosted_predictions(_prepared(spark, d), WINDOW)[0]
 
 
 @query()
 def training_curve(spark: SparkSession, d: str) -> DataFrame:
     train, _ = workflows.matrices(p := _prepared(spark, d), WINDOW)
-    return tree.fit_boosted(train, p.features()[:2], "rul", _SMALL).curve_table(spark)
+    return tree.fit_boosted(train, p.features(), "rul", tree.BoostParams(10)).curve_table(spark)
 
 
 @query()
@@ -375,6 +407,15 @@ def linear_predict(spark: SparkSession, d: str) -> DataFrame:
     return baselines.linear_predict(train, test, p.features()).select("unit", "rul", "pred_linear")
 
 
+@query(f"""WITH {E_SQL}, x AS (SELECT unit, cycle, sensor_1 AS f0, sensor_2 AS f1, sensor_1 + 2 * sensor_2 + unit % 7 AS y FROM e),
+m AS (SELECT avg(f0) AS a, avg(f1) AS b, avg(y) AS c, var_pop(f0) AS s00, var_pop(f1) AS s11, covar_pop(f0, f1) AS s01, covar_pop(f0, y) AS t0, covar_pop(f1, y) AS t1 FROM x),
+w AS (SELECT a, b, c, (t0 * s11 - t1 * s01) / (s00 * s11 - s01 * s01) AS w0, (t1 * s00 - t0 * s01) / (s00 * s11 - s01 * s01) AS w1 FROM m)
+SELECT unit, cycle, {r6('c + w0 * (f0 - a) + w1 * (f1 - b)', 'pred_linear')} FROM x, w""")
+def linear_two_features(spark: SparkSession, d: str) -> DataFrame:
+    rows = _split_rows(spark, d)
+    return rounded(baselines.linear_predict(rows, rows, ["f0", "f1"], "y").select("unit", "cycle", "pred_linear"))
+
+
 @query()
 def rf_predict(spark: SparkSession, d: str) -> DataFrame:
     train, test = workflows.matrices(p := _prepared(spark, d), WINDOW)
@@ -386,7 +427,13 @@ def lstm_predict(spark: SparkSession, d: str) -> DataFrame:
     return workflows.recurrent_predictions(_prepared(spark, d), 5, recurrent.RecurrentParams(hidden=8, epochs=1, batch=64))[0]
 
 
-@query()
+def _report_sql(name: str) -> str:
+    lengths = f"(SELECT max(cycle) AS m, count(*) AS n FROM {'tr' if name == 'train' else 'te'} GROUP BY unit)"
+    values = {"min_cycles": "min(m)", "max_cycles": "max(m)", "mean_cycles": "avg(m)", "units": "count(*)", "cycles": "sum(n)", "windows": f"sum(greatest(n - {WINDOW} + 1, 0))"}
+    return " UNION ALL ".join(f"SELECT '{name}_{k}' AS metric, CAST({v} AS VARCHAR) AS value FROM {lengths}" for k, v in values.items())
+
+
+@query(f"WITH {E_SQL}, {adapters.split_sql('e')} {_report_sql('train')} UNION ALL {_report_sql('test')} UNION ALL SELECT 'near_constant_sensors', CASE WHEN stddev_samp(sensor_1) < 1e-6 OR stddev_samp(sensor_2) < 1e-6 THEN 'some' ELSE 'none' END FROM tr UNION ALL SELECT 'test_units_without_window', CAST(count(*) AS VARCHAR) FROM (SELECT unit FROM te GROUP BY unit HAVING count(*) < {WINDOW})")
 def report(spark: SparkSession, d: str) -> DataFrame:
     return workflows.report(_prepared(spark, d), window=WINDOW)
 
@@ -427,6 +474,30 @@ def parse_cycles(spark: SparkSession, d: str) -> DataFrame:
     return rounded(good.groupBy("unit").agg(F.count("*").alias("n"), F.sum("sensor_1").alias("sensor_1"), F.sum("sensor_21").alias("sensor_21")))
 
 
+def _text_file(spark, df: DataFrame, order: str, path: str) -> None:
+    """Lines of one text file in the order of a column."""
+    df.orderBy(order).select("line").coalesce(1).write.text(path)
+
+
+@query(f"WITH {E_SQL} SELECT unit, cycle, (row_number() OVER (ORDER BY unit, cycle))::BIGINT AS line_no, {r6('sensor_1', 'sensor_1')}, {r6('sensor_2', 'sensor_21')} FROM e")
+def text_file_cycles(spark: SparkSession, d: str) -> DataFrame:
+    from ..scratch import scratch
+
+    numbers = F.concat_ws(" ", F.col("unit").cast("string"), F.col("cycle").cast("string"), *([F.lit("0.5")] * 3), *([F.col("sensor_1").cast("string")] * 20), F.col("sensor_2").cast("string"))
+    ordered = _e(spark, d).select(F.struct("unit", "cycle").alias("k"), F.concat(numbers, F.lit("  ")).alias("line"))
+    _text_file(spark, ordered, "k", path := f"{scratch(spark, 'files')}/train_FD001.txt")
+    return rounded(text.read_cycles(spark, path.rpartition("/")[0], "FD001", "train").select("unit", "cycle", "line_no", "sensor_1", "sensor_21"))
+
+
+@query(f"WITH {E_SQL}, {adapters.split_sql('e')} SELECT 'FD002' AS subset, ord::INT AS ord, final_rul::BIGINT AS final_rul FROM truth")
+def text_file_truth(spark: SparkSession, d: str) -> DataFrame:
+    from ..scratch import scratch
+
+    lines = adapters.truth(_e(spark, d)).select("ord", F.concat(F.when(F.col("ord") % 3 == 0, "\n").otherwise(""), F.col("final_rul").cast("string"), F.lit(" ")).alias("line"))
+    _text_file(spark, lines, "ord", path := f"{scratch(spark, 'files')}/RUL_FD002.txt")
+    return text.read_truth(spark, path.rpartition("/")[0], "2")
+
+
 @query("SELECT l_orderkey AS key, CASE WHEN l_quantity::BIGINT % 2 = 0 THEN l_quantity END AS even FROM lineitem")
 def strict_numbers(spark: SparkSession, d: str) -> DataFrame:
     q = F.col("l_quantity").cast("long").cast("string")

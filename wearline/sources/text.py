@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import NUMBER, parse_u32, single_spaced, to_u32
+from ..functions.scalar import fields, parse_u32, to_double, to_u32
 from ..schema import CYCLES, FILES, NUM_FIELDS, subset_code
 
 
@@ -30,28 +30,34 @@ def paths(data_dir: str, subset: str) -> dict[str, str]:
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, line) with 1-based numbers; blank lines are counted, then left out.
 
-    A file is one record, so its lines keep their numbers; many files are read in parallel.
+    Files are read in splits.  A line's number is its place in its split, as rows of a
+    split keep their order, and the lines of the file's earlier splits, which are
+    counted first: one row a split.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
-    return files.select("path", (F.col("pos") + 1).cast("long").alias("line_no"), "line").where(F.trim(F.regexp_replace("line", r"\s+", " ")) != "")
+    raw = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__id"), "value")
+    earlier = Window.partitionBy("path").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = raw.groupBy("path", "__start").agg(F.min("__id").alias("__first"), F.count("*").alias("n"))
+    splits = splits.select("path", "__start", "__first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
+    lines = raw.join(splits, ["path", "__start"]).select("path", (F.col("__before") + F.col("__id") - F.col("__first") + 1).alias("line_no"), F.regexp_replace("value", "\r$", "").alias("line"))
+    return lines.where(F.size(fields(F.col("line"))) > 0)
 
 
 def parsed(lines: DataFrame, line: str = "line") -> DataFrame:
-    """``lines`` with the 26 readings and ``reason``: null for a good line.
+    """``lines`` with the 26 readings and ``reason``: null for a good line."""
 
-    One pattern judges a whole line; only bad lines are looked at field by field.
-    """
-    split = lines.withColumn("__flat", single_spaced(F.col(line))).withColumn("__good", F.col("__flat").rlike(f"^(?:{NUMBER} ){{{NUM_FIELDS - 1}}}{NUMBER}$"))
-    split = split.withColumn("__f", F.split("__flat", " "))
-    count = F.when(F.col("__flat") == "", F.lit(0)).otherwise(F.size("__f"))
-    wrong = F.filter("__f", lambda x: ~x.rlike(f"^{NUMBER}$"))[0]
-    place = F.array_position("__f", wrong)
-    what = F.when(place == 1, "unit").when(place == 2, "cycle").when(place <= 2 + len(FILES.settings), "op_setting").otherwise("sensor")
-    reason = F.when(count != NUM_FIELDS, F.concat(F.lit(f"expected {NUM_FIELDS} fields, found "), count.cast("string"))).otherwise(F.concat(F.lit("could not parse "), what, F.lit(" ("), wrong, F.lit(") as a number")))
-    numbers = split.select(*lines.columns, F.when(~F.col("__good"), reason).alias("reason"), *(F.when(F.col("__good"), F.get("__f", F.lit(i)).try_cast("double")).alias(f"__v{i}") for i in range(NUM_FIELDS)))
-    values = [to_u32(F.col("__v0")).alias("unit"), to_u32(F.col("__v1")).alias("cycle")]
-    values += [F.col(f"__v{2 + i}").alias(c) for i, c in enumerate(FILES.settings + FILES.sensors)]
-    return numbers.select(*lines.columns, "reason", *values)
+    def judged(f: Column) -> Column:
+        values = F.when(F.size(f) == NUM_FIELDS, F.transform(f, to_double))
+        return F.transform(F.array(F.struct(f.alias("f"), values.alias("v"))), lambda p: F.struct(p["f"].alias("f"), p["v"].alias("v"), F.array_position(F.transform(p["v"], lambda x: x.isNull()), True).alias("bad")))[0]
+
+    # the lambdas and explode() hold a line's fields and values, so that each is made once however often it is named
+    split = lines.select("*", F.explode(F.transform(F.array(fields(F.coalesce(line, F.lit("")))), judged)).alias("__p")).select(*lines.columns, "__p.f", "__p.v", "__p.bad")
+    split = split.toDF(*lines.columns, "__f", "__v", "__bad")
+    what = F.when(F.col("__bad") == 1, "unit").when(F.col("__bad") == 2, "cycle").when(F.col("__bad") <= 2 + len(FILES.settings), "op_setting").otherwise("sensor")
+    reason = F.when(F.col("__v").isNull(), F.concat(F.lit(f"expected {NUM_FIELDS} fields, found "), F.greatest(F.size("__f"), F.lit(0)).cast("string")))
+    reason = reason.when(F.col("__bad") > 0, F.concat(F.lit("could not parse "), what, F.lit(" ("), F.get("__f", F.col("__bad").cast("int") - 1), F.lit(") as a number")))
+    values = [F.when(F.col("__bad") == 0, F.get("__v", F.lit(i))) for i in range(NUM_FIELDS)]
+    named = [to_u32(values[0]).alias("unit"), to_u32(values[1]).alias("cycle"), *(v.alias(c) for v, c in zip(values[2:], FILES.settings + FILES.sensors))]
+    return split.select(*lines.columns, reason.alias("reason"), *named)
 
 
 def bad_rows(lines: DataFrame) -> DataFrame:
@@ -90,9 +96,7 @@ def read_truth(spark: SparkSession, data_dir: str, subset: str, strict: bool = T
 
 
 def truth_of(lines: DataFrame, code: str, strict: bool = True) -> DataFrame:
-    from pyspark.sql import Window
-
-    values = lines.withColumn("final_rul", parse_u32(F.trim(F.regexp_replace("line", r"\s+", " "))))
+    values = lines.withColumn("final_rul", parse_u32(F.array_join(fields(F.col("line")), " ")))
     if strict:
         raise_first(values.where("final_rul is null").withColumn("reason", F.lit("not a whole number")).select("path", "line_no", "line", "reason"))
     ordinal = F.row_number().over(Window.partitionBy("path").orderBy("line_no"))
