@@ -266,11 +266,55 @@ def test_blocks():
     page = "<head><title>t</title></head><body><!-- x --><nav><a href='>'>Home</a></nav><p>a&amp;b <b>c<br>d<p>e\n  f<script>var t='</p>';</script><ul><li>g<li>h</ul>i <> j"
     found = html_text.blocks_of(page)
     assert [b.text for b in found] == ["Home", "a&b c d", "e f", "g", "h", "i <> j"]
-    assert found[0].linked == 4 and found[0].path == ("body", "nav")
+    nav = html_text.step(html_text.step(html_text.Path(), "body"), "nav")
+    assert found[0].linked == 4 and found[0].path == nav and nav != html_text.step(html_text.step(html_text.Path(), "nav"), "body")
     assert html_text.blocks_of("") == [] and html_text.blocks_of("<script>never closed") == []
     assert [b.text for b in html_text.blocks_of("<p title=\"a>b\">x</p><p 'y")] == ["x", "<p 'y"]
 
 
+def test_long_and_deep_pages_take_time_in_proportion():
+    import time
+
+    def seconds(page, blocks):
+        began = time.process_time()
+        found = html_text.blocks_of(page)
+        assert len(found) == blocks
+        return time.process_time() - began
+
+    small, large = (seconds("<div class=a>x<b>y" * n + "</b></div>" * n, n) for n in (10_000, 80_000))
+    assert large < 40 * max(small, 0.05)
+    net = html_text.trained()
+    page = "<nav><a href=/>Home</a></nav><article>" + "".join(f"<p>Some words of paragraph {i} that say what it says.</p>" for i in range(100_000)) + "</article><footer>Imprint</footer>"
+    found = html_text.blocks_of(page)
+    (kept,) = html_text.label(net, [found])
+    assert len(found) == 100_002 and kept[1:-1].mean() > 0.99 and not kept[0] and not kept[-1]
+
+
+def test_labels_do_not_depend_on_batches():
+    net, made = html_text.trained(), [b for b, _ in html_text.training_pages(40, 99)]
+    whole, parts = html_text.label(net, made), html_text.label(net, made, cells=1, at_once=3)
+    assert all((a == b).all() for a, b in zip(whole, parts))
+
+
+OTHER_LAYOUTS = [
+    ("<div id=wrap><div class=masthead><ul><li><a href=/>Start</a><li><a href=/n>News</a></ul></div><div class=story><h2>{0}</h2><p>{1}</p><p>{2}</p></div><div class=sidebar><h4>Related</h4><a href=/a>Other things to read</a></div><div id=footer>All rights reserved</div></div>"),
+    ("<table><tr><td><a href=/>Home</a> <a href=/b>Blog</a></td></tr><tr><td><h1>{0}</h1><p>{1}<p>{2}</td></tr><tr><td><small>Copyright 2020</small></td></tr></table>"),
+    ("<header><nav><a href=/>Home</a></nav></header><main><section><h1>{0}</h1><p>{1}</p><p>{2}</p></section></main><section id=comments><h3>Comments</h3><p>I do not agree with any of this at all.</p></section><footer><p>Terms of use</p></footer>"),
+]
+
+
+def test_pages_without_an_article():
+    words = [f"The {w} of the old harbour was built when the town had few ships and many plans." for w in ("wall", "gate", "bridge")]
+    net, right, every = html_text.trained(), 0, 0
+    for layout in OTHER_LAYOUTS:
+        found = html_text.blocks_of(layout.format(*words))
+        (kept,) = html_text.label(net, [found])
+        for block, k in zip(found, kept):
+            right += k == (block.text in words)
+            every += 1
+    assert right / every > 0.8
+
+
 def test_lstm_gradient():
     net = html_text.BiLSTM(1, 5, 3)
     net.p = {k: v.astype(float) for k, v in net.p.items()}

@@ -13,6 +13,7 @@ sidebars, notices, adverts, forms and reader comments.
 
 from __future__ import annotations
 
+import collections
 import functools
 import html
 import re
@@ -48,20 +49,60 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 _PART = re.compile(r"[a-z]+")
 
 
+#: Known elements have a place each; others share the last eight.
+_TAG_PLACE = {name: i for i, name in enumerate(sorted(BLOCK_TAGS | {"html", "a", "b", "i", "em", "strong", "span", "small"}))}
+assert len(_TAG_PLACE) <= TAG_DIM - 8
+
+
+class Path(NamedTuple):
+    """A tag path as the set of its features, so that a step costs the same at any depth."""
+
+    seen: int = 0  # bits of elements and names
+    last: int = 0  # bit of the last step
+    before: int = 0  # and of the one before it
+    linked: bool = False  # below an element ``a`` without names
+
+
+@functools.lru_cache(maxsize=8192)
+def _bits(name: str, names: str) -> tuple[int, int]:
+    place = _TAG_PLACE.get(name, TAG_DIM - 1 - zlib.crc32(name.encode()) % 8)
+    seen = 1 << place
+    for part in _PART.findall(names):
+        seen |= 1 << TAG_DIM + LAST_DIM + zlib.crc32(part.encode()) % NAME_DIM
+    return seen, 1 << TAG_DIM + zlib.crc32(b"last " + name.encode()) % LAST_DIM
+
+
+def step(path: Path, name: str, names: str = "") -> Path:
+    """``path`` and one element more."""
+    seen, last = _bits(name, names)
+    return Path(path.seen | seen, last, path.last, path.linked or name == "a" and not names)
+
+
 class Block(NamedTuple):
-    path: tuple[str, ...]
+    path: Path
     text: str
     linked: int
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The leaf blocks of a page: tag path, text with references decoded and white space made single, linked characters."""
+    """The leaf blocks of a page: tag path, text with references decoded and white space made single, linked characters.
+
+    Time grows with the page's length, however deep its elements nest.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
-    path: tuple[str, ...] = ()
+    stack: list[tuple[str, Path]] = []
+    opened: collections.Counter[str] = collections.Counter()
+    path = Path()
     parts: list[str] = []
     linked, links, at, size = 0, 0, 0, len(page)
 
+    def pop() -> str:
+        nonlocal links
+        top, _ = stack.pop()
+        opened[top] -= 1
+        links -= top == "a"
+        return top
+
     def close() -> None:
         nonlocal parts, linked
         if parts:
@@ -84,17 +125,16 @@ def blocks_of(page: str) -> list[Block]:
             continue
         name = name.lower()
         if m[1]:
-            if any(x == name for x, _ in stack):
+            if opened[name]:
                 if name in BLOCK_TAGS:
                     close()
                 while True:
-                    top, _ = stack.pop()
-                    links -= top == "a"
+                    top = pop()
                     if top in BLOCK_TAGS and top != name:
                         close()
                     if top == name:
                         break
-                path = tuple(x for _, x in stack)
+                path = stack[-1][1] if stack else Path()
             elif name in BLOCK_TAGS:
                 close()
             continue
@@ -114,35 +154,21 @@ def blocks_of(page: str) -> list[Block]:
         if name in BLOCK_TAGS:
             close()
             ends = _ENDS.get(name, ())
-            while stack and (stack[-1][0] == "p" or stack[-1][0] not in BLOCK_TAGS and any(x == "p" for x, _ in stack) or stack[-1][0] in ends):
-                top, _ = stack.pop()
-                links -= top == "a"
+            while stack and (stack[-1][0] == "p" or stack[-1][0] not in BLOCK_TAGS and opened["p"] or stack[-1][0] in ends):
+                pop()
         if not m[3].endswith("/"):
             names = " ".join(a or b or c for a, b, c in _NAMES.findall(m[3])) if "=" in m[3] else ""
-            stack.append((name, f"{name} {names.lower()}" if names else name))
+            path = step(stack[-1][1] if stack else Path(), name, names.lower())
+            stack.append((name, path))
+            opened[name] += 1
             links += name == "a"
-            path = tuple(x for _, x in stack)
     close()
     return out
 
 
-#: Known elements have a place each; others share the last eight.
-_TAG_PLACE = {name: i for i, name in enumerate(sorted(BLOCK_TAGS | {"html", "a", "b", "i", "em", "strong", "span", "small"}))}
-assert len(_TAG_PLACE) <= TAG_DIM - 8
-
-
 @functools.lru_cache(maxsize=8192)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """Hashed elements and names of a path, and its last two steps once more."""
-    out = np.zeros(PATH_DIM, np.float32)
-    for depth, step in enumerate(path):
-        name, _, names = step.partition(" ")
-        out[_TAG_PLACE.get(name, TAG_DIM - 1 - zlib.crc32(name.encode()) % 8)] = 1
-        if depth >= len(path) - 2:
-            out[TAG_DIM + zlib.crc32(b"last " + name.encode()) % LAST_DIM] = 1
-        for part in _PART.findall(names):
-            out[TAG_DIM + LAST_DIM + zlib.crc32(part.encode()) % NAME_DIM] = 1
-    return out
+def _path_vector(bits: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits.to_bytes(-(-PATH_DIM // 8), "little"), np.uint8), bitorder="little")[:PATH_DIM].astype(np.float32)
 
 
 def features(blocks: list[Block]) -> np.ndarray:
@@ -151,9 +177,9 @@ def features(blocks: list[Block]) -> np.ndarray:
     for i, (path, text, linked) in enumerate(blocks):
         words = text.lower().encode("utf-8", "surrogatepass").translate(None, b".,;:!?").split()
         n = max(1, len(words))
-        out[i, :PATH_DIM] = _path_vector(path)
+        out[i, :PATH_DIM] = _path_vector(path.seen | path.last | path.before)
         out[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.sqrt(np.bincount(np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % WORD_DIM, minlength=WORD_DIM) / n)
-        out[i, PATH_DIM + WORD_DIM :] = (np.log1p(n) / 4, linked / len(text), text[-1] in ".!?\"'", np.log1p(len(text)) / 6, n < 4, "a" in path)
+        out[i, PATH_DIM + WORD_DIM :] = (np.log1p(n) / 4, linked / len(text), text[-1] in ".!?\"'", np.log1p(len(text)) / 6, n < 4, path.linked)
     return out
 
 
@@ -177,11 +203,14 @@ class BiLSTM:
         self.p["V"] = (rng.standard_normal((2 * hidden, 1)) / np.sqrt(2 * hidden)).astype(np.float32)
         self.p["v"] = np.zeros(1, np.float32)
 
-    def _run(self, x, mask, d, keep):
+    def project(self, x, d):
+        """What the inputs add to the gates of one direction."""
+        return x @ self.p["W" + d] + self.p["c" + d]
+
+    def _run(self, z, mask, d, keep):
         """States (time, batch, hidden) of one direction; masked steps leave the state as it is."""
-        steps, batch, _ = x.shape
+        steps, batch, _ = z.shape
         k, u = self.hidden, self.p["U" + d]
-        z = x @ self.p["W" + d] + self.p["c" + d]
         h, c = np.zeros((batch, k), np.float32), np.zeros((batch, k), np.float32)
         out, tape = np.zeros((steps, batch, k), np.float32), {}
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
@@ -197,16 +226,16 @@ class BiLSTM:
             out[t] = h
         return out, tape
 
-    def predict(self, x, mask):
-        """Probability of main text for every step of (time, batch, inputs)."""
-        both = np.concatenate([self._run(x, mask, d, False)[0] for d in "fb"], axis=2)
+    def predict(self, z, mask):
+        """Probability of main text for every step, from the projected inputs (time, batch, gates) of both directions."""
+        both = np.concatenate([self._run(z[d], mask, d, False)[0] for d in "fb"], axis=2)
         return _sigmoid((both @ self.p["V"])[:, :, 0] + self.p["v"])
 
     def gradient(self, x, mask, y):
         """Mean cross-entropy of the unmasked steps and its gradient."""
         k, tapes, states = self.hidden, {}, {}
         for d in "fb":
-            states[d], tapes[d] = self._run(x, mask, d, True)
+            states[d], tapes[d] = self._run(self.project(x, d), mask, d, True)
         both = np.concatenate([states["f"], states["b"]], axis=2)
         p = _sigmoid((both @ self.p["V"])[:, :, 0] + self.p["v"])
         n = mask.sum()
@@ -391,8 +420,12 @@ def trained(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = SEED) ->
     return net
 
 
-def label(net: BiLSTM, pages: list[list[Block]], cells: int = 40_000) -> list[np.ndarray]:
-    """Whether each block of each page is main text; pages of like length run together."""
+def label(net: BiLSTM, pages: list[list[Block]], cells: int = 40_000, at_once: int = 4096) -> list[np.ndarray]:
+    """Whether each block of each page is main text; pages of like length run together.
+
+    Features are made ``at_once`` blocks at a time and kept only as what they add to
+    the gates, so a page of very many blocks needs about a kilobyte for each of them.
+    """
     out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
     order = sorted((i for i, b in enumerate(pages) if b), key=lambda i: len(pages[i]))
     a = 0
@@ -400,9 +433,18 @@ def label(net: BiLSTM, pages: list[list[Block]], cells: int = 40_000) -> list[np
         b = a + 1
         while b < len(order) and (b - a + 1) * len(pages[order[b]]) <= cells:
             b += 1
-        x, mask = padded([features(pages[i]) for i in order[a:b]])
-        p = net.predict(x, mask)
-        for k, i in enumerate(order[a:b]):
+        group, longest = order[a:b], len(pages[order[b - 1]])
+        z, mask = {d: np.zeros((longest, len(group), 4 * net.hidden), np.float32) for d in "fb"}, np.zeros((longest, len(group)), bool)
+        flat = [(k, j) for k, i in enumerate(group) for j in range(len(pages[i]))]
+        for s in range(0, len(flat), at_once):
+            some = flat[s : s + at_once]
+            page, place = (np.array(x) for x in zip(*some))
+            x = features([pages[group[k]][j] for k, j in some])
+            mask[place, page] = True
+            for d in "fb":
+                z[d][place, page] = net.project(x, d)
+        p = net.predict(z, mask)
+        for k, i in enumerate(group):
             out[i] = p[: len(pages[i]), k] >= 0.5
         a = b
     return out
@@ -411,7 +453,8 @@ def label(net: BiLSTM, pages: list[list[Block]], cells: int = 40_000) -> list[np
 def extract_main_text(pages: DataFrame, net: BiLSTM | None = None) -> DataFrame:
     """page_id, url, text, n_chars, n_blocks, n_main for every page (page_id, url, html).
 
-    Null and empty html, and html without text, give empty text.  Repeated rows are
+    Null and empty html, and html without text, give empty text.  Pages of any length and
+    depth are read whole, in time and memory that grow with their length.  Repeated rows are
     extracted each; an empty table gives no rows; other columns are not read.
     """
     weights = (net or trained()).p

@@ -17,7 +17,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import file_system, scratch, stored, write_atomically
@@ -191,6 +191,8 @@ def write_archives(pages: DataFrame, folder: str, max_records: int = 50_000) ->
     refs = first_payloads(pages)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest")).join(refs, ["page_id", "digest"], "left").select("page_id", "url", "payload", "refers_to")
+    # in one order, so that a repeated or late copy of a task writes the same archive and the same run
+    rows = rows.sortWithinPartitions("page_id", "url", "refers_to", "payload")
 
     def write(batches):
         import pyarrow as pa
@@ -251,7 +253,8 @@ def merge_runs(runs: DataFrame, folder: str, fan_in: int = 128, per_range: int =
         groups = -(-count // fan_in)
         level += 1
 
-        numbered = runs.withColumn("g", F.pmod(F.xxhash64("path"), F.lit(groups)))
+        # a row a run, numbered in one task
+        numbered = runs.withColumn("g", F.pmod(F.row_number().over(Window.orderBy("path")), F.lit(groups)).cast("int"))
         runs = stored(numbered.groupBy("g").applyInPandas(_merge_group(f"{folder}/merged-{level}"), "path string, n long, keys array<string>"), "warc-runs")
         count = runs.count()
     paths = sorted(r.path for r in runs.select("path").collect())  # at most fan_in
