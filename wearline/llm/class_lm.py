@@ -70,7 +70,7 @@ def chunked(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """Rows (chunk, ids, held, starts, hashes, shapes, counts, local).
 
     ``ids`` and ``held`` (bit 0: held out, bit 1: null id) list the documents, ``starts`` where their
-    tokens begin in ``local``, which indexes ``hashes``; every document ends with
+    tokens begin in ``local`` (deflated), which indexes ``hashes``; every document ends with
     the end token.  ``counts``: training tokens of each distinct word.
     """
 
@@ -88,7 +88,7 @@ def chunked(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
             keys = list(table)
             hashes = np.array([END] + [word_hash(w) for w in keys[1:]], np.uint64)
             shapes = np.array([0] + [shape(w) for w in keys[1:]], np.uint8)
-            data = [[(task << CHUNK_BITS) + part], [np.array(ids, np.int64).tobytes()], [np.array(held, np.uint8).tobytes()], [(np.cumsum(lengths) - lengths).astype(np.uint32).tobytes()], [hashes.tobytes()], [shapes.tobytes()], [counts.tobytes()], [flat.astype(np.uint32).tobytes()]]
+            data = [[(task << CHUNK_BITS) + part], [np.array(ids, np.int64).tobytes()], [np.array(held, np.uint8).tobytes()], [(np.cumsum(lengths) - lengths).astype(np.uint32).tobytes()], [hashes.tobytes()], [shapes.tobytes()], [counts.tobytes()], [zlib.compress(flat.astype(np.uint32).tobytes(), 1)]]
             return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(data, schema)], schema=schema)
 
         def fresh():
@@ -100,8 +100,8 @@ def chunked(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
         schema = pa.schema([("chunk", pa.int64())] + [(c, pa.binary()) for c in ("ids", "held", "starts", "hashes", "shapes", "counts", "local")])
         table, ids, held, local, tokens = fresh()
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                words = (text or b"").lower().split()  # bytes: lowers A-Z, splits at ASCII blanks
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):  # texts become objects one by one
+                words = (text.as_py() or b"").lower().split()  # bytes: lowers A-Z, splits at ASCII blanks
                 numbers = np.fromiter(map(table.__getitem__, words), np.int32, len(words))
                 ids.append(doc or 0)
                 held.append(3 if doc is None else int(zlib.crc32(str(doc).encode()) % 10 == 0))
@@ -185,9 +185,15 @@ class Core:
         return out
 
 
+def _indices(local: bytes) -> np.ndarray:
+    """A chunk's tokens as indices into its words; they travel deflated, as the JVM holds several chunks at a time."""
+    return np.frombuffer(zlib.decompress(local), np.uint32)
+
+
 def _contexts(kind: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The class before each token and after it; an end token also opens the next text."""
-    return np.concatenate([[end], kind[:-1]]), np.concatenate([kind[1:], [end]])
+    edge = np.array([end], kind.dtype)
+    return np.concatenate([edge, kind[:-1]]), np.concatenate([kind[1:], edge])
 
 
 def _training(held: bytes, starts: bytes, tokens: int) -> np.ndarray:
@@ -196,9 +202,13 @@ def _training(held: bytes, starts: bytes, tokens: int) -> np.ndarray:
 
 
 def _rows(batch, *names):
-    """The rows of a batch, of which only one at a time is copied."""
+    """The rows of a batch, as views: chunks are large, and are not copied."""
+    import pyarrow as pa
+
     columns = [batch.column(c) for c in names]
-    return (tuple(c[i].as_py() for c in columns) for i in range(batch.num_rows))
+    for i in range(batch.num_rows):
+        yield tuple(memoryview(c[i].as_buffer()) if pa.types.is_binary(c.type) else c[i].as_py() for c in columns)
+    pa.default_memory_pool().release_unused()
 
 
 def core_words(chunks: DataFrame, min_share: float) -> tuple[int, int, np.ndarray, np.ndarray]:
@@ -255,24 +265,24 @@ def exchanged(chunks: DataFrame, core: Core, classes: int, rounds: int) -> tuple
 
     def neighbours(core: Core):
         """Map side of a round: for blocks of words the counts of classes before and after, summed over the task."""
-        current = np.concatenate([core.class_of, np.arange(classes, n_classes)])
+        current = np.concatenate([core.class_of, np.arange(classes, n_classes)]).astype(np.int16)
 
         def run(batches):
             import pyarrow as pa
             from pyspark import TaskContext
 
-            counts = np.zeros((size + SHAPES + 1) * n_classes * 2, np.int32)
+            counts = np.zeros((size + SHAPES + 1) * n_classes * 2, np.int64)
             for batch in batches:
                 for held, starts, hashes, shapes, local in _rows(batch, "held", "starts", "hashes", "shapes", "local"):
                     code = core.ranks(np.frombuffer(hashes, np.int64))
-                    code = np.where(code == -2, size + np.frombuffer(shapes, np.uint8).astype(np.int64), np.where(code == -1, size + SHAPES, code))
-                    flat = code[np.frombuffer(local, np.uint32)]
+                    code = np.where(code == -2, size + np.frombuffer(shapes, np.uint8).astype(np.int64), np.where(code == -1, size + SHAPES, code)).astype(np.int32)
+                    flat = code[_indices(local)]
                     train = _training(held, starts, len(flat))
                     previous, following = _contexts(current[flat], end)
                     inner = train & (flat != size + SHAPES)
-                    counts += np.bincount(flat[train] * (2 * n_classes) + previous[train], minlength=len(counts)).astype(np.int32)
-                    counts += np.bincount(flat[inner] * (2 * n_classes) + n_classes + following[inner], minlength=len(counts)).astype(np.int32)
-            table, part = counts.reshape(-1, 2 * n_classes).astype(np.int64), TaskContext.get().partitionId() // TASKS_SUMMED
+                    counts += np.bincount(flat[train] * np.int64(2 * n_classes) + previous[train], minlength=len(counts))
+                    counts += np.bincount(flat[inner] * np.int64(2 * n_classes) + n_classes + following[inner], minlength=len(counts))
+            table, part = counts.reshape(-1, 2 * n_classes), TaskContext.get().partitionId() // TASKS_SUMMED
             for a in range(0, len(table), WORD_BLOCK):
                 some = table[a : a + WORD_BLOCK]
                 if some.any():
@@ -358,14 +368,15 @@ def other_words(chunks: DataFrame, core: Core, bigrams: np.ndarray, classes: int
         names = ["place", "hash", "shape", "n", "near"]
         for batch in batches:
             for chunk, held, starts, hashes, shapes, counts, local in _rows(batch, "chunk", "held", "starts", "hashes", "shapes", "counts", "local"):
-                h, kinds = np.frombuffer(hashes, np.int64), classes + np.frombuffer(shapes, np.uint8).astype(np.int64)
+                h, kinds = np.frombuffer(hashes, np.int64), classes + np.frombuffer(shapes, np.uint8).astype(np.int16)
                 rank = core.ranks(h)
                 kinds[rank >= 0] = core.class_of[rank[rank >= 0]]
                 kinds[rank == -1] = end
-                flat = np.frombuffer(local, np.uint32).astype(np.int64)
+                flat = _indices(local)
                 mine = (rank == -2)[flat] & _training(held, starts, len(flat))
-                previous, following = _contexts(kinds[flat], end)
-                key = np.concatenate([flat[mine] * (2 * n_classes) + previous[mine], flat[mine] * (2 * n_classes) + n_classes + following[mine]])
+                previous, following = (x[mine] for x in _contexts(kinds[flat], end))
+                key = flat[mine] * np.int64(2 * n_classes)
+                key = np.concatenate([key + previous, key + n_classes + following])
                 key, times = np.unique(key, return_counts=True)
                 pairs = np.empty(len(key), _PAIR)
                 pairs["k"], pairs["n"] = key % (2 * n_classes), times
@@ -483,7 +494,7 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUND
     def local_words(core: Core, chunk: int, hashes: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Counts and classes of a chunk's distinct words."""
         rank = core.ranks(np.frombuffer(hashes, np.int64))
-        c, kind = np.full(len(rank), core.end_count, np.int64), np.full(len(rank), end, np.int64)
+        c, kind = np.full(len(rank), core.end_count, np.int64), np.full(len(rank), end, np.int16)
         c[rank >= 0], kind[rank >= 0] = core.counts[rank[rank >= 0]], core.class_of[rank[rank >= 0]]
         others = np.flatnonzero(rank == -2)
         if len(others):
@@ -497,9 +508,9 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUND
         n = np.zeros(n_classes * n_classes, np.int64)
         for batch in batches:
             for chunk, held, starts, hashes, local in _rows(batch, "chunk", "held", "starts", "hashes", "local"):
-                kind = local_words(sent.value, chunk, hashes)[1][np.frombuffer(local, np.uint32)]
+                kind = local_words(sent.value, chunk, hashes)[1][_indices(local)]
                 train = _training(held, starts, len(kind))
-                n += np.bincount(_contexts(kind, end)[0][train] * n_classes + kind[train], minlength=len(n))
+                n += np.bincount(_contexts(kind, end)[0][train] * np.int64(n_classes) + kind[train], minlength=len(n))
         yield _cells(n)
 
     bigrams = _square(chunks.select("chunk", "held", "starts", "hashes", "local").mapInArrow(follow, "cell int, n long"), n_classes)
@@ -516,7 +527,7 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUND
         for batch in batches:
             for chunk, ids, held, starts, hashes, local in _rows(batch, "chunk", "ids", "held", "starts", "hashes", "local"):
                 c, kinds = local_words(sent.value, chunk, hashes)
-                flat, begin = np.frombuffer(local, np.uint32), np.frombuffer(starts, np.uint32).astype(np.int64)
+                flat, begin = _indices(local), np.frombuffer(starts, np.uint32).astype(np.int64)
                 own, kind = np.log10(c + a), kinds[flat]
                 word = np.where(kinds == end, 0.0, own - emission[kinds])  # P(end | its class) is 1
                 held = np.frombuffer(held, np.uint8)
