@@ -120,14 +120,15 @@ def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     def spelled(value: Column) -> Column:
         return F.regexp_replace(value, "&amp;", "&")
 
+    # each step is a transform() or stands below explode(), so that what it names is made once; inlined, the plan grows past what the driver holds
     tags = pages.select(F.col(url).alias("u"), F.regexp_extract_all(F.col(html), F.lit(_TAGS), F.lit(0)).alias("tags"))
+    u = F.col("u")
     bases = F.filter(F.transform(F.filter("tags", lambda t: kind(t) == "base"), lambda t: spelled(attribute(t, "href"))), lambda x: x != "")
-    targets = F.filter(F.transform("tags", target), lambda x: x != "")
-    found = tags.select("u", F.try_element_at(bases, F.lit(1)).alias("base"), F.explode(F.array_distinct(targets)).alias("t"))
-    found = found.withColumn("base", F.when(F.col("base").isNull(), F.col("u")).otherwise(F.coalesce(resolved(F.col("u"), F.col("base")), F.col("u"))))
-    found = found.withColumn("t", spelled(F.col("t"))).withColumn("t", resolved(F.col("base"), F.col("t")))
-    edges = found.select(node_of(F.col("u")).alias("a"), node_of(F.col("t")).alias("b"))
-    return edges.where("a is not null and b is not null and a != b")
+    base = F.transform(F.array(F.try_element_at(bases, F.lit(1))), lambda b: F.when(b.isNull(), u).otherwise(F.coalesce(resolved(u, b), u)))[0]
+    targets = F.transform(F.array_distinct(F.filter(F.transform("tags", target), lambda x: x != "")), spelled)
+    found = tags.select(node_of(u).alias("a"), base.alias("base"), targets.alias("targets"))
+    nodes = F.transform(F.transform("targets", lambda t: resolved(F.col("base"), t)), node_of)
+    return found.select("a", F.explode(F.array_distinct(nodes)).alias("b")).where("a is not null and b is not null and a != b")
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, edges: DataFrame | None = None) -> DataFrame:
