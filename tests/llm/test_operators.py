@@ -191,6 +191,15 @@ def test_every_alias_of_a_page(spark):
     assert got == {k: "alias" if k <= 8 else "default" for k in range(1, 12)}
 
 
+def test_a_hot_canonical_target(spark):
+    rows = [(i, f"https://h{i % 50}.net/{i}", '<link rel=canonical href="https://hub.net/">') for i in range(400)]
+    rows += [(400, "https://hub.net/", '<meta http-equiv=refresh content="0; url=https://z.com/de/1">'), (401, "https://other.net/", None)]
+    got = {r["page_id"]: (r["verdict"], r["decided_by"]) for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert got == {i: ("block", "alias") for i in range(401)} | {401: ("allow", "default")}
+    allowed = spark.createDataFrame([*rows, (402, "https://x.org/", '<link rel=canonical href="https://hub.net/">')], "page_id long, url string, html string")
+    assert url_filter.judge_urls(allowed).where("verdict = 'block'").count() == 0
+
+
 # ---- 4
 
 
