@@ -21,6 +21,7 @@ values into ``width`` words, which numpy does for many blocks at a time.
 from __future__ import annotations
 
 import functools
+import gc
 import itertools
 import re
 import struct
@@ -283,12 +284,17 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian uint32 bytes."""
-        ends = np.cumsum([len(t) for t in texts]) // 4_000_000
-        for _, group in itertools.groupby(range(len(texts)), ends.__getitem__):
-            split = [_CUT.split(t) if _is_odd(t) else t.replace("\n", " \n").split(" ") for t in map(texts.__getitem__, group)]
-            opening = self._codes(self.first, [[words.pop(0)] for words in split], "")
-            for head, rest in zip(opening, self._codes(self.later, split, " ")):
-                yield head[0] + b"".join(rest)
+        ends, collects = np.cumsum([len(t) for t in texts]) // 4_000_000, gc.isenabled()
+        gc.disable()  # hundreds of thousands of objects live in the tables, none of them in a cycle
+        try:
+            for _, group in itertools.groupby(range(len(texts)), ends.__getitem__):
+                split = [_CUT.split(t) if _is_odd(t) else t.replace("\n", " \n").split(" ") for t in map(texts.__getitem__, group)]
+                opening = self._codes(self.first, [[words.pop(0)] for words in split], "")
+                for head, rest in zip(opening, self._codes(self.later, split, " ")):
+                    yield head[0] + b"".join(rest)
+        finally:
+            if collects:
+                gc.enable()
 
 
 @functools.lru_cache(maxsize=2)
